@@ -4,23 +4,35 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import hilbert_shards, url_filters
+from . import byte_bpe, hilbert_shards, token_counts, url_filters
 from .common import table
 
 
+def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return byte_bpe.encode_documents(table(spark, sf_dir, "documents"), path, digests_only=True)
+
+
 def op6_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert_shards.assign(table(spark, sf_dir, "documents"), 40)
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 1024)
+
+
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = url_filters.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"))
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_byte_bpe": op1_byte_bpe,
     "op6_hilbert_shards": op6_hilbert_shards,
+    "op9_token_counts": op9_token_counts,
     "op10_url_filters": op10_url_filters,
 }
 

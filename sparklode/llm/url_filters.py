@@ -66,7 +66,7 @@ NAMED_RULES = (
     host_rule("example.com", "/de/", "block"),
     host_rule("org", "/fr/", "allow"),
 )
-PATTERN_RULES = tuple(host_pattern(x) for x in ("casino-win", "free-bets", "cheap-pills", "ads-track"))
+PATTERN_RULES = tuple(host_pattern(x) for x in ("casino-win", "free-bets", "cheap-pills", "ads-track", "adult-x"))
 
 
 def url_parts(pages: DataFrame) -> DataFrame:
@@ -168,6 +168,6 @@ WITH parts AS (
   FROM hp
 )
 SELECT page_id, host, path, rule,
-  coalesce(named, CASE WHEN regexp_matches(host, '(^|\.)(casino-win|free-bets|cheap-pills|ads-track)\.') THEN 'block' ELSE 'allow' END) AS verdict
+  coalesce(named, CASE WHEN regexp_matches(host, '(^|\.)(casino-win|free-bets|cheap-pills|ads-track|adult-x)\.') THEN 'block' ELSE 'allow' END) AS verdict
 FROM judged
 """
