@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, hilbert_shards, language_id, quality, token_counts, toxicity, url_filters
+from . import byte_bpe, hilbert_shards, language_id, ngram_join, quality, token_counts, toxicity, url_filters
 from .common import table
 
 
@@ -16,6 +16,10 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_documents(table(spark, sf_dir, "documents"), path, digests_only=True)
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.components(table(spark, sf_dir, "documents"))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")), 0.3)
@@ -46,6 +50,7 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op2_ngram_join": op2_ngram_join,
     "op3_quality": op3_quality,
     "op4_toxicity": op4_toxicity,
     "op6_hilbert_shards": op6_hilbert_shards,
@@ -55,5 +60,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_ngram_join": ngram_join.ORACLE_SQL,
     "op10_url_filters": url_filters.ORACLE_SQL,
 }
