@@ -240,7 +240,8 @@ def encode_documents(docs: DataFrame, path: str, key: str = "doc_id", digests_on
                 ]
                 names = [key, "n_tokens", "ids_sha256", "decoded_sha256"]
                 if not digests_only:
-                    columns.append(pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32())))
+                    flat = pa.array(np.concatenate(ids).astype(np.int32))
+                    columns.append(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, ids)]), pa.int32()), flat))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 

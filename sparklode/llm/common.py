@@ -6,10 +6,14 @@ import atexit
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from .wordhash import blocks
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -86,6 +90,18 @@ def held_out(modulus: int, remainder: int, col: str = "doc_id") -> Column:
     return (F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary")) % modulus) == remainder
 
 
-def fields(*pairs: str) -> T.StructType:
-    """A schema from ``"name type"`` strings."""
-    return T._parse_datatype_string(", ".join(pairs))
+def kept_rows(docs: DataFrame, judge: Callable[[], Callable[[list[bytes]], np.ndarray]]) -> DataFrame:
+    """The rows of ``docs``, all columns, whose text (null as empty) is judged true.
+
+    ``judge()`` is called once a task and gives the function from texts to
+    booleans. No shuffle: batches are filtered where they are read.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep = judge()
+        for batch in batches:
+            column = batch.column(batch.schema.get_field_index("text"))
+            for start, part in blocks(column):
+                yield batch.slice(start, len(part)).filter(pa.array(keep(part)))
+
+    return docs.mapInArrow(run, docs.schema)

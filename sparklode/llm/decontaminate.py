@@ -34,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import kept_rows
 from .quality import sliced, sum_matrices
 from .wordhash import KINDS, Batch, blocks
 
@@ -251,43 +252,59 @@ def matches(texts: list[bytes], items: Items, table: np.ndarray) -> Iterator[tup
             yield (t, i, *best)
 
 
+def item_blocks(benchmark: DataFrame, table: np.ndarray) -> Iterator[Items]:
+    """The benchmark, prepared, ITEMS items at a time."""
+    block: list = []
+    for row in benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").toLocalIterator():
+        block.append(row)
+        if len(block) == ITEMS:
+            yield prepare([r["item_id"] for r in block], [(r["text"] or "").encode() for r in block], table)
+            block = []
+    if block:
+        yield prepare([r["item_id"] for r in block], [(r["text"] or "").encode() for r in block], table)
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, cosine, item_share, answer_share, first_word, last_word of every match."""
     spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
+    names = ["doc_id", "item_id", "cosine", "item_share", "answer_share", "first_word", "last_word"]
     schema = f"doc_id {kind}, item_id long, cosine double, item_share double, answer_share double, first_word int, last_word int"
     table = latent_space(docs)
     space = spark.sparkContext.broadcast(table)
-    block: list = []
 
-    def against(rows: list) -> DataFrame:
-        shared = spark.sparkContext.broadcast(prepare([r["item_id"] for r in rows], [(r["text"] or "").encode() for r in rows], table))
+    def against(items: Items) -> DataFrame:
+        shared = spark.sparkContext.broadcast(items)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            items = shared.value
             for batch in batches:
                 for start, part in blocks(batch.column(1)):
-                    found = list(matches(part, items, space.value))
+                    found = list(matches(part, shared.value, space.value))
                     rows = pa.array([start + m[0] for m in found], pa.int64())
-                    columns = [batch.column(0).take(rows), pa.array([items.ids[m[1]] for m in found], pa.int64())]
+                    columns = [batch.column(0).take(rows), pa.array([shared.value.ids[m[1]] for m in found], pa.int64())]
                     columns += [pa.array([m[k] for m in found], pa.float64()) for k in (2, 3, 4)]
                     columns += [pa.array([m[k] for m in found], pa.int32()) for k in (5, 6)]
-                    yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "item_id", "cosine", "item_share", "answer_share", "first_word", "last_word"])
+                    yield pa.RecordBatch.from_arrays(columns, names=names)
 
         return docs.select("doc_id", "text").mapInArrow(run, schema)
 
-    parts = []
-    for row in benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").toLocalIterator():
-        block.append(row)
-        if len(block) == ITEMS:
-            parts.append(against(block))
-            block = []
-    if block:
-        parts.append(against(block))
+    parts = [against(items) for items in item_blocks(benchmark, table)]
     return reduce(DataFrame.union, parts) if parts else spark.createDataFrame([], schema)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that hold no benchmark item, all columns."""
-    found = contaminated(docs, benchmark).select(F.col("doc_id").alias("__found")).distinct()
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("__found")), "left_anti")
+    """The documents that hold no benchmark item, all columns; each block of items filters what the others leave."""
+    table = latent_space(docs)
+    space = docs.sparkSession.sparkContext.broadcast(table)
+
+    def without(left: DataFrame, items: Items) -> DataFrame:
+        shared = left.sparkSession.sparkContext.broadcast(items)
+
+        def judge(texts: list[bytes]) -> np.ndarray:
+            free = np.ones(len(texts), bool)
+            free[[m[0] for m in matches(texts, shared.value, space.value)]] = False
+            return free
+
+        return kept_rows(left, lambda: judge)
+
+    return reduce(without, item_blocks(benchmark, table), docs)

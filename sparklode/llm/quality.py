@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out
+from .common import held_out, kept_rows
 from .toxicity import HELD_BACK, labelled
 from .wordhash import KINDS, Batch, blocks, mix
 
@@ -247,3 +247,9 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
     return docs.select("doc_id", held_out(5, 0).alias("held_out"), "text").mapInArrow(
         run, f"doc_id {kind}, held_out boolean, score double, predicted int"
     )
+
+
+def keep(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
+    """The documents, all columns, whose score is ``threshold`` or more."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return kept_rows(docs, lambda: lambda texts: shared.value.probability(pooled(shared.value.vectors, texts)) >= threshold)
