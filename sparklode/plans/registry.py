@@ -1,10 +1,412 @@
-"""The registered queries of the retrieval engine and their SQL."""
+"""The registered queries of the retrieval engine and their SQL, over the test tables.
+
+Entities: documents are the corpus (ord = doc_id, comments = lines of text),
+benchmark rows are queries, the first document that holds a benchmark text is
+its expected answer, embeddings are chunk vectors (label = document), labels
+name the known documents.
+"""
 
 from __future__ import annotations
 
+import os
+import tempfile
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import lang, text, vector
+from ..operators import assemble, bm25, dense, evaluate, tfidf
+from ..sources import corpus as source
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a query under its function's name, with its SQL if there is one."""
+
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return docs.select(F.col("doc_id").alias("ord"), "doc_id", "text", "lang", "source", F.split("text", "\n").alias("comments"))
+
+
+def items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "item_id", "text")
+
+
+# SQL fragments -------------------------------------------------------------
+
+#: Decomposition of the tables' accented letters: base letter and a separator.
+_FOLD = (("[éèê]", "e "), ("ó", "o "), ("ñ", "n "), ("ü", "u "), ("ç", "c "), ("ä", "a "), ("ö", "o "), ("í", "i "))
+
+
+def sql_tokens(col: str) -> str:
+    folded = f"lower({col})"
+    for pattern, to in _FOLD:
+        folded = f"regexp_replace({folded}, '{pattern}', '{to}', 'g')"
+    return f"list_filter(string_split(trim(regexp_replace({folded}, '[^a-z0-9]+', ' ', 'g')), ' '), lambda x: x <> '')"
+
+
+def sql_terms(col: str) -> str:
+    stops = ", ".join(f"'{w}'" for w in text.STOP_WORDS)
+    plain = rf"lower(regexp_replace({col}, '[^A-Za-z0-9_\s]', ' ', 'g'))"
+    return rf"list_filter(regexp_split_to_array({plain}, '\s+'), lambda x: x <> '' AND x NOT IN ({stops}))"
+
+
+_DOCS = f"d AS MATERIALIZED (SELECT doc_id, {sql_tokens('text')} AS ws FROM documents), dl AS (SELECT doc_id, len(ws) AS dl FROM d), st AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl)"
+_TF = "tok AS (SELECT doc_id, unnest(ws) AS term FROM d), tf AS (SELECT doc_id, term, count(*) AS tf FROM tok GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term)"
+_BM25 = f"""{_DOCS}, {_TF},
+q AS (SELECT item_id, term, count(*) AS qtf FROM (SELECT item_id, unnest({sql_tokens('text')}) AS term FROM benchmark) GROUP BY ALL),
+sc AS (SELECT item_id, doc_id, round(sum(qtf * ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))), 6) AS score
+  FROM q JOIN tf USING (term) JOIN df USING (term) JOIN dl USING (doc_id), st GROUP BY item_id, doc_id)"""
+_RANKED = f"""{_BM25},
+every AS (SELECT b.item_id, dl.doc_id, coalesce(score, 0.0::DOUBLE) AS score FROM benchmark b CROSS JOIN dl LEFT JOIN sc ON sc.item_id = b.item_id AND sc.doc_id = dl.doc_id),
+ranked AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM every QUALIFY rank <= 5)"""
+
+
+# Projections and predicates ------------------------------------------------
+
+
+@query("SELECT doc_id, replace(text, chr(10), ' ') AS joined FROM documents")
+def corpus_text_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents(spark, sf_dir).select("doc_id", text.retrieval_text(F.col("comments")).alias("joined"))
+
+
+@query(r"""SELECT item_id, query FROM (SELECT item_id, trim(regexp_extract('  { ' || split_part(text, chr(10), 1) || ' }', '^(\s*)\{\s*(.*?)\s*\}\s*$', 2)) AS query FROM benchmark) WHERE query <> ''""")
+def brace_query_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line = F.concat(F.lit("  { "), F.split("text", "\n")[0], F.lit(" }"))
+    return items(spark, sf_dir).select("item_id", text.brace_query(line).alias("query")).where(F.col("query").isNotNull())
+
+
+@query(r"""SELECT page_id, line_no, length(regexp_extract(line, '^\s*', 0))::INTEGER AS indent FROM (
+  SELECT page_id, unnest(ls) AS line, (generate_subscripts(ls, 1) - 1)::INTEGER AS line_no FROM (SELECT page_id, string_split(html, chr(10)) AS ls FROM pages))""")
+def leading_whitespace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = read(spark, sf_dir, "pages").select("page_id", F.posexplode(F.split("html", "\n")).alias("line_no", "line"))
+    return lines.select("page_id", "line_no", F.length(text.leading_whitespace(F.col("line"))).alias("indent"))
+
+
+@query("SELECT doc_id, nfc_normalize(text) AS clean FROM documents")
+def nfc_sanitize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents(spark, sf_dir).select("doc_id", text.nfc("text").alias("clean"))
+
+
+# Language routing ----------------------------------------------------------
+
+_HAN = "length(regexp_replace(text, '[^一-鿿]', '', 'g'))"
+_LATIN = "length(regexp_replace(text, '[^A-Za-z]', '', 'g'))"
+
+
+@query(f"SELECT conv_id, turn, {_LATIN}::INTEGER AS latin, {_HAN}::INTEGER AS han, 0 AS simplified, 0 AS traditional FROM conversations")
+def char_class_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = lang.character_counts(F.col("text"))
+    return read(spark, sf_dir, "conversations").select("conv_id", "turn", *[c.cast("int").alias(k) for k, c in n.items()])
+
+
+@query(f"SELECT conv_id, turn, CASE WHEN {_HAN} = 0 AND {_LATIN} > 0 THEN 'en' WHEN {_HAN} > 0 THEN 'zh-cn' ELSE 'Undetermined' END AS lang FROM conversations")
+def language_identify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "conversations").select("conv_id", "turn", lang.identify_language(F.col("text")).alias("lang"))
+
+
+@query(f"SELECT CASE WHEN {_HAN} > 0 AND {_LATIN} = 0 THEN 'zh-cn' ELSE 'en' END AS lang, count(*) AS n FROM documents GROUP BY 1")
+def language_route_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents(spark, sf_dir).groupBy(lang.route(F.col("text")).alias("lang")).agg(F.count("*").alias("n"))
+
+
+# Tokens and lexical statistics ---------------------------------------------
+
+
+@query(f"SELECT doc_id, array_to_string({sql_tokens('text')}, ' ') AS tokens FROM documents")
+def tokens_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents(spark, sf_dir).select("doc_id", F.array_join(text.lexical_tokens(F.col("text")), " ").alias("tokens"))
+
+
+@query(f"SELECT item_id, array_to_string({sql_terms('text')}, ' ') AS tokens FROM benchmark")
+def tokens_tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return items(spark, sf_dir).select("item_id", F.array_join(text.query_terms(F.col("text"), stemming=False), " ").alias("tokens"))
+
+
+def _index(spark: SparkSession, sf_dir: str) -> bm25.Index:
+    docs = documents(spark, sf_dir)
+    return bm25.build(docs, text.retrieval_text(F.col("comments")))
+
+
+@query(f"WITH {_DOCS} SELECT doc_id, dl::INTEGER AS dl FROM dl")
+def doc_length(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _index(spark, sf_dir).docs.select(F.col("ord").alias("doc_id"), "dl")
+
+
+@query(f"WITH {_DOCS} SELECT n, round(avgdl, 6) AS avgdl FROM st")
+def corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _index(spark, sf_dir).stats.select("n", F.round("avgdl", 6).alias("avgdl"))
+
+
+@query(f"WITH {_DOCS}, {_TF} SELECT term, df FROM df")
+def doc_freq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _index(spark, sf_dir).frequencies
+
+
+@query(f"WITH {_DOCS}, {_TF} SELECT doc_id, term, tf FROM tf")
+def term_freq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _index(spark, sf_dir).postings.withColumnRenamed("ord", "doc_id")
+
+
+@query(f"WITH {_DOCS}, {_TF} SELECT term, round(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)), 6) AS idf FROM df, st")
+def idf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = _index(spark, sf_dir)
+    both = index.frequencies.crossJoin(F.broadcast(index.stats))
+    return both.select("term", F.round(bm25.idf(F.col("n"), F.col("df")), 6).alias("idf"))
+
+
+@query(f"WITH {_BM25} SELECT item_id, doc_id, score FROM sc")
+def bm25_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    terms = bm25.query_tokens(items(spark, sf_dir), F.col("text"))
+    return bm25.scores(_index(spark, sf_dir), terms).select(F.col("query_id").alias("item_id"), F.col("ord").alias("doc_id"), "score")
+
+
+def _ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bm25.search(_index(spark, sf_dir), items(spark, sf_dir), F.col("text"), 5)
+
+
+@query(f"WITH {_RANKED} SELECT item_id, doc_id, score, rank::INTEGER AS rank FROM ranked")
+def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ranked(spark, sf_dir).select(F.col("query_id").alias("item_id"), F.col("ord").alias("doc_id"), "score", "rank")
+
+
+@query("SELECT 0 AS query_id, doc_id, 0.0::DOUBLE AS score, (row_number() OVER (ORDER BY doc_id))::INTEGER AS rank FROM documents QUALIFY rank <= 5")
+def bm25_zero_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A query without a known term gets the first documents."""
+    none = spark.range(1).select(F.lit(0).alias("query_id"), F.lit("zzzzqqqq").alias("text"))
+    return bm25.search(_index(spark, sf_dir), none, F.col("text"), 5).select("query_id", F.col("ord").alias("doc_id"), "score", "rank")
+
+
+# TF-IDF --------------------------------------------------------------------
+
+_VOCAB = f"v AS (SELECT DISTINCT unnest({sql_terms('text')}) AS term FROM documents)"
+
+
+@query(f"WITH {_VOCAB} SELECT item_id, term, count(*) AS tf FROM (SELECT item_id, unnest({sql_terms('text')}) AS term FROM benchmark) JOIN v USING (term) GROUP BY ALL")
+def query_tf_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = documents(spark, sf_dir).select(F.explode(text.query_terms(F.col("text"), stemming=False)).alias("term")).distinct()
+    asked = tfidf.query_vector(items(spark, sf_dir), text.query_terms(F.col("text"), stemming=False), words.withColumn("idx", F.col("term")))
+    return asked.select(F.col("query_id").alias("item_id"), F.col("idx").alias("term"), "tf")
+
+
+@query(f"""WITH c AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({sql_terms('text')}) AS term FROM documents) GROUP BY ALL),
+i AS (SELECT term, ln(((SELECT count(*) FROM documents) + 1.0::DOUBLE) / (count(*) + 1.0::DOUBLE)) + 1.0::DOUBLE AS idf FROM c GROUP BY term),
+q AS (SELECT item_id, term, count(*) AS tf FROM (SELECT item_id, unnest({sql_terms('text')}) AS term FROM benchmark) GROUP BY ALL),
+wd AS (SELECT doc_id, term, tf * idf AS w FROM c JOIN i USING (term)), wq AS (SELECT item_id, term, tf * idf AS w FROM q JOIN i USING (term)),
+nd AS (SELECT doc_id, sqrt(sum(w * w)) AS n FROM wd GROUP BY doc_id), nq AS (SELECT item_id, sqrt(sum(w * w)) AS n FROM wq GROUP BY item_id),
+s AS (SELECT item_id, doc_id, round(sum(wq.w / nq.n * wd.w / nd.n), 6) AS score FROM wq JOIN wd USING (term) JOIN nd USING (doc_id) JOIN nq USING (item_id) GROUP BY item_id, doc_id)
+SELECT item_id, doc_id, score, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INTEGER AS rank FROM s QUALIFY rank <= 5""")
+def tfidf_cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = tfidf.search(documents(spark, sf_dir), F.col("text"), items(spark, sf_dir), F.col("text"), 5, stemming=False)
+    return found.select(F.col("query_id").alias("item_id"), F.col("ord").alias("doc_id"), "score", "rank")
+
+
+# Chunks and vectors --------------------------------------------------------
+
+
+@query(f"""WITH {_DOCS}, c AS (SELECT doc_id, ws, unnest(CASE WHEN len(ws) = 0 THEN [] ELSE range(0, (greatest(ceil((len(ws) - 512) / 462.0), 0) * 462)::BIGINT + 1, 462) END) AS start FROM d)
+SELECT doc_id, start::INTEGER AS start, len(list_slice(ws, start + 1, start + 512))::INTEGER AS n FROM c""")
+def chunk_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _index(spark, sf_dir).docs.select(F.col("ord").alias("doc_id"), "tokens", F.explode(vector.chunk_starts(F.size("tokens"))).alias("start"))
+    return rows.select("doc_id", "start", F.size(F.slice("tokens", F.col("start") + 1, 512)).alias("n"))
+
+
+@query(f"""WITH {_DOCS}, i AS (SELECT doc_id, list_transform(ws, lambda x: length(x)::INTEGER) AS ids FROM d)
+SELECT doc_id, len(p)::INTEGER AS n, list_sum(p)::BIGINT AS sum_ids, least(len(ids), 512)::BIGINT AS sum_mask FROM (SELECT doc_id, ids, list_resize(list_slice(ids, 1, 512), 512, 0) AS p FROM i)""")
+def pad_and_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Word lengths stand in for sub-word ids."""
+    ids = _index(spark, sf_dir).docs.select(F.col("ord").alias("doc_id"), F.transform("tokens", F.length).alias("ids"))
+    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda s, x: s + x)
+    p, m = vector.padded(F.col("ids")), vector.attention_mask(F.col("ids"))
+    return ids.select("doc_id", F.size(p).alias("n"), total(p).alias("sum_ids"), total(m).alias("sum_mask"))
+
+
+@query("""SELECT label, dim::INTEGER AS dim, round(avg(x), 6) AS mean FROM (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS dim FROM embeddings WHERE vec_id % 3 <> 0) GROUP BY label, dim""")
+def mean_pool_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mask is 0 for every third vector."""
+    rows = read(spark, sf_dir, "embeddings").withColumn("mask", (F.col("vec_id") % 3 != 0).cast("int"))
+    cells = rows.where("mask = 1").select("label", F.posexplode("embedding").alias("dim", "x"))
+    return cells.groupBy("label", "dim").agg(F.round(F.avg(F.col("x").cast("double")), 6).alias("mean"))
+
+
+@query("""SELECT vec_id, dim::INTEGER AS dim, round(x / n, 6) AS x FROM (SELECT vec_id, unnest(embedding)::DOUBLE * 3 AS x, generate_subscripts(embedding, 1) - 1 AS dim,
+  sqrt(list_sum(list_transform(embedding, lambda v: (v::DOUBLE * 3) * (v::DOUBLE * 3)))) AS n FROM embeddings)""")
+def l2_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scaled = F.transform("embedding", lambda x: x.cast("double") * 3)
+    rows = read(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(vector.l2_normalize(scaled)).alias("dim", "x"))
+    return rows.select("vec_id", "dim", F.round("x", 6).alias("x"))
+
+
+def _vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Query vectors (every twentieth) and chunk vectors (label as document)."""
+    rows = read(spark, sf_dir, "embeddings")
+    asked = rows.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vec"))
+    return asked, rows.select(F.col("label").cast("long").alias("ord"), "vec_id", F.col("embedding").alias("vec"))
+
+
+_DOT = "list_dot_product(q.embedding::DOUBLE[], c.embedding::DOUBLE[])"
+_BEST = f"""WITH s AS (SELECT q.vec_id AS query_id, c.label::BIGINT AS label, round(max({_DOT}), 6) AS score FROM embeddings q JOIN embeddings c ON q.vec_id % 20 = 0 GROUP BY ALL)
+SELECT query_id, label, score, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, label))::INTEGER AS rank FROM s QUALIFY rank <= 5"""
+
+
+@query(f"SELECT q.vec_id AS query_id, c.vec_id, round({_DOT}, 6) AS score FROM embeddings q JOIN embeddings c ON q.vec_id % 20 = 0")
+def dot_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked, chunks = _vectors(spark, sf_dir)
+    pairs = chunks.crossJoin(F.broadcast(asked.withColumnRenamed("vec", "qvec").limit(dense.QUERY_BLOCK)))
+    return pairs.select("query_id", "vec_id", F.round(vector.dot(F.col("qvec"), F.col("vec")), 6).alias("score"))
+
+
+@query(_BEST)
+def max_over_chunks_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked, chunks = _vectors(spark, sf_dir)
+    return dense.search(asked, chunks, 5).select("query_id", F.col("ord").alias("label"), "score", "rank")
+
+
+@query(_BEST)
+def dense_topk_numpy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked, chunks = _vectors(spark, sf_dir)
+    return dense.blocked_search(asked, chunks, 5).select("query_id", F.col("ord").alias("label"), "score", "rank")
+
+
+# Evaluation ----------------------------------------------------------------
+
+_EXPECT = "x AS (SELECT b.item_id, min(d.doc_id) AS expected FROM benchmark b JOIN documents d ON contains(d.text, b.text) GROUP BY b.item_id)"
+_GRADED = f"""WITH {_RANKED}, {_EXPECT}, g AS (SELECT x.item_id, x.expected, coalesce(CASE WHEN rank <= 5 THEN pow(2.0::DOUBLE, 1 - rank) END, 0.0::DOUBLE) AS score,
+  CASE WHEN {_HAN.replace('text', 'b.text')} > 0 AND {_LATIN.replace('text', 'b.text')} = 0 THEN 'zh-cn' ELSE 'en' END AS lang, d.source AS key, b.text AS query
+  FROM x JOIN benchmark b USING (item_id) JOIN documents d ON d.doc_id = x.expected LEFT JOIN ranked r ON r.item_id = x.item_id AND r.doc_id = x.expected)"""
+
+
+def _graded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, asked = documents(spark, sf_dir), items(spark, sf_dir)
+    # The benchmark is a bounded query set: a few hundred rows at any scale.
+    holds = docs.join(F.broadcast(asked.select("item_id", F.col("text").alias("query"))), F.expr("contains(text, query)"))
+    first = holds.groupBy("item_id").agg(F.min("doc_id").alias("expected"))
+    cases = first.join(asked, "item_id").join(docs.select(F.col("doc_id").alias("expected"), F.col("source").alias("key")), "expected")
+    cases = cases.select(F.col("item_id").alias("query_id"), "expected", lang.route(F.col("text")).alias("lang"), "key", F.col("text").alias("query"))
+    return evaluate.grade(cases, _ranked(spark, sf_dir))
+
+
+@query(f"{_GRADED} SELECT item_id, expected, score FROM g")
+def graded_rank_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _graded(spark, sf_dir).select(F.col("query_id").alias("item_id"), "expected", "score")
+
+
+@query(f"{_GRADED} SELECT lang, key, round(avg(score), 6) AS avg_score, count(*) AS sample_size FROM g GROUP BY lang, key")
+def key_average(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.key_means(_graded(spark, sf_dir)).withColumn("avg_score", F.round("avg_score", 6))
+
+
+@query(f"{_GRADED} SELECT lang, round(avg(a), 6) AS total_avg FROM (SELECT lang, key, avg(score) AS a FROM g GROUP BY lang, key) GROUP BY lang")
+def macro_average(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.macro_means(evaluate.key_means(_graded(spark, sf_dir))).withColumn("total_avg", F.round("total_avg", 6))
+
+
+@query(f"""{_GRADED}, k AS (SELECT lang, key, avg(score) AS a FROM g GROUP BY lang, key), l AS (
+  SELECT DISTINCT lang, 0 AS part, NULL AS key, 0 AS sub, NULL AS query, 'LANGUAGE: ' || upper(lang) AS line FROM k
+  UNION ALL SELECT lang, 1, key, 0, NULL, 'Key: ' || key || ' (Avg: ' || printf('%.4f', a) || ')' FROM k
+  UNION ALL SELECT lang, 1, key, 1, query, '  - [Score: ' || rpad(CASE score WHEN 1 THEN '1' WHEN 0 THEN '0' WHEN 0.5 THEN '0.5' WHEN 0.25 THEN '0.25' WHEN 0.125 THEN '0.125' ELSE '0.0625' END, 6, ' ') || '] Query: ' || query FROM g
+  UNION ALL SELECT lang, 2, NULL, 0, NULL, '>> TOTAL AVERAGE FOR ' || upper(lang) || ': ' || printf('%.4f', avg(a)) FROM k GROUP BY lang)
+SELECT lang, (row_number() OVER (PARTITION BY lang ORDER BY part, key NULLS FIRST, sub, query NULLS FIRST, line))::INTEGER AS no, line FROM l""")
+def eval_report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.report_lines(_graded(spark, sf_dir))
+
+
+# Joins, assembly, storage --------------------------------------------------
+
+
+@query(f"WITH {_RANKED} SELECT item_id, doc_id, score, rank::INTEGER AS rank FROM ranked WHERE doc_id IN (SELECT doc_id FROM labels)")
+def known_key_semi_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known = read(spark, sf_dir, "labels").select(F.col("doc_id").alias("ord"))
+    return _ranked(spark, sf_dir).join(known, "ord", "left_semi").select(F.col("query_id").alias("item_id"), F.col("ord").alias("doc_id"), "score", "rank")
+
+
+@query("""SELECT doc_id, replace(nfc_normalize(text) || chr(10) || 'snippet ' || source, chr(10), chr(10) || repeat(' ', (doc_id % 5)::BIGINT)) AS insert_text FROM documents""")
+def insert_text_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document as an item: its lines as comments, one snippet, an indent by its id."""
+    docs = documents(spark, sf_dir).withColumn("comments", assemble.nfc_lines("comments"))
+    indent = F.repeat(F.lit(" "), (F.col("doc_id") % 5).cast("int"))
+    snippets = F.array(F.concat(F.lit("snippet "), "source"))
+    return docs.select("doc_id", assemble.insert_text(F.col("comments"), snippets, indent).alias("insert_text"))
+
+
+@query("""SELECT doc_id, (doc_id % 100)::INTEGER AS insert_line, greatest(doc_id % 3, 1)::INTEGER AS insert_character, (doc_id % 100)::INTEGER AS remove_from,
+  (doc_id % 100 + len(string_split(text, chr(10))))::INTEGER AS remove_to FROM documents""")
+def edit_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line, character = (F.col("doc_id") % 100).cast("int"), (F.col("doc_id") % 3).cast("int")
+    ranges = assemble.edit_ranges(line, character, F.col("comments"))
+    return documents(spark, sf_dir).select("doc_id", *[c.cast("int").alias(n) for n, c in ranges.items()])
+
+
+@query("SELECT label::BIGINT AS label, count(*) AS chunks, round(sum(list_sum(embedding::DOUBLE[])), 4) AS total FROM embeddings GROUP BY label")
+def index_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dense index saved and loaded again."""
+    rows = read(spark, sf_dir, "embeddings").withColumn("lang", F.lit("en"))
+    index = rows.select("lang", F.col("vec_id").alias("ord"), F.col("label").cast("long").alias("label"), F.array("embedding").alias("embeddings"))
+    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="sparklode-index-")
+    path = f"{base}/index-{os.urandom(8).hex()}"
+    source.save_index(index, path)
+    chunks = dense.exploded(source.load_index(spark, path), "label")
+    return chunks.groupBy("label").agg(F.count("*").alias("chunks"), F.round(F.sum(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x.cast("double"))), 4).alias("total"))
+
+
+# Without SQL ---------------------------------------------------------------
+
+
+@query()
+def porter_stem_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stem of each different query term."""
+    words = items(spark, sf_dir).select(F.explode(text.query_terms(F.col("text"), stemming=False)).alias("word")).distinct()
+    return words.select("word", text.stem_all(F.array("word"))[0].alias("stem"))
+
+
+def stub_tokenizer(line: str) -> list[int]:
+    """Word hashes as ids, where no model file is given."""
+    return [sum(w.encode()) % 997 + 1 for w in line.lower().split()]
+
+
+def stub_encoder(ids: np.ndarray, mask: np.ndarray) -> np.ndarray:
+    """Fixed pseudo-random hidden states by id, where no model file is given."""
+    table = np.random.default_rng(3).normal(0, 1, (998, 32))
+    return table[ids]
+
+
+@query()
+def stub_encoder_retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunk, encode, pool, search: the dense flow with a stand-in encoder."""
+    index = dense.build_index(documents(spark, sf_dir).select("ord", "comments"), stub_tokenizer, stub_encoder)
+    asked = dense.encode_queries(items(spark, sf_dir).select("query_id", "text"), stub_tokenizer, stub_encoder).where("vec IS NOT NULL")
+    found = dense.blocked_search(asked, dense.exploded(index), 5)
+    return found.select(F.col("query_id").alias("item_id"), F.col("ord").alias("doc_id"), "score", "rank")
+
+
+@query()
+def completion_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The completion flow over benchmark texts as brace lines, answered by BM25."""
+    docs = documents(spark, sf_dir)
+    corpus = docs.select(lang.route(F.col("text")).alias("lang"), "ord", F.col("doc_id").cast("string").alias("id"), "comments", F.array("source").alias("snippets"))
+    braces = F.concat(F.lit("    { "), F.split("text", "\n")[0], F.lit(" }"))
+    lines = items(spark, sf_dir).select(F.lit("benchmark").alias("doc_path"), (F.col("item_id") + 1).cast("int").alias("line_no"), F.lit(0).alias("character"), braces.alias("before"))
+
+    def search(asked: DataFrame) -> DataFrame:
+        found = bm25.search(bm25.build(corpus, text.retrieval_text(F.col("comments"))), asked, F.col("text"), 5)
+        return found.join(asked.select("query_id", "lang"), "query_id")
+
+    return assemble.completions(lines, corpus, search, ["en"])
+
