@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, decontaminate, hilbert_shards, language_id, ngram_join, quality, token_counts, toxicity, url_filters
+from . import byte_bpe, decontaminate, hilbert_shards, language_id, ngram_join, quality, token_counts, topk_search, toxicity, url_filters
 from .common import table
 
 
@@ -43,6 +43,11 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs, language_id.fit(docs))
 
 
+def op8_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return topk_search.search(docs, docs.where("doc_id % 50 = 0"), 10)
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 1024)
 
@@ -60,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_decontamination": op5_decontamination,
     "op6_hilbert_shards": op6_hilbert_shards,
     "op7_language_id": op7_language_id,
+    "op8_topk_search": op8_topk_search,
     "op9_token_counts": op9_token_counts,
     "op10_url_filters": op10_url_filters,
 }
