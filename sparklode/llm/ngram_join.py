@@ -14,9 +14,10 @@ of the threshold or more; components of links are returned. The steps:
    boundary between small and large is the size up to which subsets cost less
    than lists, by the list lengths of this corpus.
 3. Under each key the sets link to one leader first (a star, not all pairs).
-   The pairs are verified on whole sets, and components follow.
+   Pairs whose parity sketches prove too many differences go; the others are
+   verified on whole sets, and components follow.
 4. A key whose sets then still lie in different components has its pairs
-   between components (and only those) verified too, so no link is lost.
+   between components (and only those) examined too, so no link is lost.
 
 Very frequent keys are spread over salts whose leaders meet again, and joins
 that may be skewed are plain equi-joins, which adaptive execution splits.
@@ -58,6 +59,8 @@ SALT_AT = 200_000
 VERIFY = 40.0
 #: Rows of an unfinished list that are held before they are passed on.
 HOLD = 50_000
+#: Places of the longest sketch.
+MAX_PLACES = 1 << 15
 
 _STEP = [np.uint64(pow(0x9E3779B97F4A7C15, i + 1, 1 << 64)) for i in range(64)]
 
@@ -110,11 +113,35 @@ def digest(s: np.ndarray) -> int:
     return int(mix(mix(s ^ place).sum(keepdims=True) + np.uint64(len(s)))[0].view(np.int64))
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """The parity of a set's elements by hashed place: the sketches of two sets differ in no more places than the sets do.
+
+    As many places as half the set again, rounded up to a power of two; a
+    longer sketch folds to a shorter one.
+    """
+    places = 64
+    while places < min(1.5 * len(s), MAX_PLACES):
+        places *= 2
+    at = ((s >> np.uint64(17)) & np.uint64(places - 1)).astype(np.int64)
+    return np.packbits(np.bincount(at, minlength=places) & 1, bitorder="little").tobytes()
+
+
+def least_difference(a: bytes, b: bytes) -> int:
+    """A lower bound on the number of elements in which two sets differ, by their sketches."""
+    if len(a) < len(b):
+        a, b = b, a
+    x, places = int.from_bytes(a, "little"), 8 * len(a)
+    while places > 8 * len(b):
+        places //= 2
+        x = (x >> places) ^ (x & ((1 << places) - 1))
+    return (x ^ int.from_bytes(b, "little")).bit_count()
+
+
 def describe(docs: DataFrame, rule: Rule) -> DataFrame:
-    """Rows of kind 0 (id, cls, n) for each document and of kind 1 (id = shingle, n = texts here) for shingles that repeat within a partition."""
+    """Rows of kind 0 (id, cls, n, sketch) for each document and of kind 1 (id = shingle, n = texts here) for shingles that repeat within a partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["kind", "id", "cls", "n"]
+        names = ["kind", "id", "cls", "n", "sketch"]
         held, size, seen = [], 0, set()
 
         def frequent() -> Iterator[pa.RecordBatch]:
@@ -123,7 +150,7 @@ def describe(docs: DataFrame, rule: Rule) -> DataFrame:
             keys, n = np.unique(np.concatenate(held), return_counts=True)
             keys, n = keys[n > 1], n[n > 1]
             if len(keys):
-                yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(keys), np.int32)), pa.array(keys.view(np.int64)), pa.array(np.zeros(len(keys), np.int64)), pa.array(n.astype(np.int64))], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(keys), np.int32)), pa.array(keys.view(np.int64)), pa.array(np.zeros(len(keys), np.int64)), pa.array(n.astype(np.int64)), pa.nulls(len(keys), pa.binary())], names=names)
 
         for batch in batches:
             for start, part in blocks(batch.column(1)):
@@ -135,7 +162,7 @@ def describe(docs: DataFrame, rule: Rule) -> DataFrame:
                         held.append(s)
                         size += len(s)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.zeros(len(part), np.int32)), batch.column(0).slice(start, len(part)).cast(pa.int64()), pa.array(cls, pa.int64()), pa.array([len(s) for s in sets], pa.int64())],
+                    [pa.array(np.zeros(len(part), np.int32)), batch.column(0).slice(start, len(part)).cast(pa.int64()), pa.array(cls, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([sketch(s) for s in sets], pa.binary())],
                     names=names,
                 )
                 if size > 4_000_000:
@@ -144,7 +171,7 @@ def describe(docs: DataFrame, rule: Rule) -> DataFrame:
                     seen.clear()
         yield from frequent()
 
-    return docs.select("doc_id", "text").mapInArrow(run, "kind int, id long, cls long, n long")
+    return docs.select("doc_id", "text").mapInArrow(run, "kind int, id long, cls long, n long, sketch binary")
 
 
 @dataclass
@@ -301,6 +328,20 @@ def stars(lists: DataFrame, rule: Rule) -> DataFrame:
     return dealt.mapInArrow(run, "kind int, key long, a long, b long, n long")
 
 
+def plausible(pairs: DataFrame, named: DataFrame, rule: Rule) -> DataFrame:
+    """The rows of ``pairs`` (a, b, n) whose sizes and sketches allow a link."""
+    said = named.select("cls", "size", "sketch")
+    both = pairs.join(said.toDF("a", "size_a", "sketch_a"), "a").join(said.toDF("b", "size_b", "sketch_b"), "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y, s, t = (batch.column(i).to_pylist() for i in range(3, 7))
+            keep = [least_difference(u, v) <= n + m - 2 * rule.overlap(n, m) for n, m, u, v in zip(x, y, s, t, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(3)], names=["a", "b", "n"]).filter(pa.array(keep, pa.bool_()))
+
+    return both.select("a", "b", "n", "size_a", "size_b", "sketch_a", "sketch_b").mapInArrow(run, "a long, b long, n long")
+
+
 def verify(pairs: DataFrame, named: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
     """The pairs (a, b) of classes that link. ``named`` has a doc_id of each class."""
     needed = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
@@ -334,13 +375,14 @@ def link_classes(docs: DataFrame, rule: Rule, described: DataFrame) -> DataFrame
     """(node, component) of all classes that link with another."""
     order = heavy_order(described, rule)
     said = stored(stars(listed(docs, order, rule), rule), "lists")
-    named = described.where("kind = 0 AND n > 0").groupBy("cls").agg(F.min("id").alias("doc_id"))
+    named = described.where("kind = 0 AND n > 0").groupBy("cls").agg(F.min("id").alias("doc_id"), F.first("n").alias("size"), F.first("sketch").alias("sketch"))
     near = said.where("kind = 0").groupBy("a", "b").agg(F.sum("n").alias("n"))
     # Leaders of one salted list meet in the least of them.
     salted = said.where("kind = 2").select("key", "a", "n").distinct()
     least = salted.groupBy("key").agg(F.min("a").alias("lead"))
     meet = salted.join(least, "key").where("a > lead").select(F.col("lead").alias("a"), F.col("a").alias("b")).distinct()
-    near = stored(near.union(meet.select("a", "b", F.lit(1 << 40).alias("n"))).groupBy("a", "b").agg(F.max("n").alias("n")), "near")
+    near = near.union(meet.select("a", "b", F.lit(1 << 40).alias("n"))).groupBy("a", "b").agg(F.max("n").alias("n"))
+    near = stored(plausible(near, named, rule), "near")
 
     # First each class with the leader it shares most keys with.
     best = stored(near.groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a")).select("a", "b"), "best")
@@ -363,7 +405,8 @@ def link_classes(docs: DataFrame, rule: Rule, described: DataFrame) -> DataFrame
     crossing = x.join(y, (F.col("x.key") == F.col("y.key")) & fits).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"))
     ordered = others.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     tried = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    late = stored(ordered.union(crossing).distinct().join(tried, ["a", "b"], "left_anti"), "late")
+    late = ordered.union(crossing).distinct().join(tried, ["a", "b"], "left_anti").withColumn("n", F.lit(0).cast("long"))
+    late = stored(plausible(late, named, rule).select("a", "b"), "late")
     more = stored(verify(late, named, docs, rule), "links")
     return connected(links.union(more))
 
