@@ -241,7 +241,7 @@ def keys_of(s: np.ndarray, order: Order, rule: Rule) -> tuple[np.ndarray, np.nda
 
 
 def listed(docs: DataFrame, order: Order, rule: Rule) -> DataFrame:
-    """(key, salt, cls, n): each class under its keys, once a partition."""
+    """(key, salt, cls, n): each class under its keys, once a partition; salt -1 where a key has one list."""
     shared = docs.sparkSession.sparkContext.broadcast(order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,7 +255,7 @@ def listed(docs: DataFrame, order: Order, rule: Rule) -> DataFrame:
                     seen.add(c)
                     own, often = keys_of(s, shared.value, rule)
                     keys.append(own)
-                    salts.append(c % np.maximum(often // SALT_AT, 1))
+                    salts.append(np.where(often > SALT_AT, c % np.maximum(-(-often // SALT_AT), 1), -1))
                     owners.append(np.full(len(own), c, np.int64))
                     sizes.append(np.full(len(own), len(s), np.int32))
                 if keys:
@@ -271,7 +271,7 @@ def stars(lists: DataFrame, rule: Rule) -> DataFrame:
     """What the lists say, read as a sorted stream:
 
     kind 0 (a = leader, b = member, n = keys in common) of pairs whose sizes may link;
-    kind 1 (key, a = class, n = size) of lists of three classes or more;
+    kind 1 (key, a = class, n = size) of lists of three classes or more, and of salted ones;
     kind 2 (key, a = leader, n = size) of salted lists.
     """
 
@@ -281,8 +281,8 @@ def stars(lists: DataFrame, rule: Rule) -> DataFrame:
         def rows(kind: int, key, a, b, n) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(key), pa.array(a), pa.array(b), pa.array(n.astype(np.int64))], names=names)
 
-        def read(key, salt, cls, n, cut: bool) -> Iterator[pa.RecordBatch]:
-            """Lists of whole runs; ``cut``: the first row is the leader of a list that was passed on before."""
+        def read(key, salt, cls, n, cut: bool, whole: bool = True) -> Iterator[pa.RecordBatch]:
+            """Lists; ``cut``: the first row is the leader of a list whose start was passed on before; not ``whole``: a list that goes on."""
             first = np.concatenate([[True], (key[1:] != key[:-1]) | (salt[1:] != salt[:-1])])
             starts = np.flatnonzero(first)
             count = np.diff(np.append(starts, len(key)))
@@ -293,13 +293,14 @@ def stars(lists: DataFrame, rule: Rule) -> DataFrame:
             if len(pair):
                 both, times = np.unique(np.stack([cls[lead[pair]], cls[pair]], 1), axis=0, return_counts=True)
                 yield rows(0, np.zeros(len(both), np.int64), both[:, 0], both[:, 1], times)
-            long = np.repeat((count > 2) | (cut & (starts == 0)), count)
+            # Two members of an unsalted list are the star itself.
+            long = np.repeat((count > 2) | (cut & (starts == 0)) | (salt[starts] >= 0) | (not whole), count)
             if cut:
                 long[0] = False
             at = np.flatnonzero(long)
             if len(at):
                 yield rows(1, key[at], cls[at], np.zeros(len(at), np.int64), n[at])
-            spread = starts[salt[starts] >= 0] if (salt > 0).any() else starts[:0]
+            spread = starts[salt[starts] >= 0]
             if len(spread):
                 yield rows(2, key[spread], cls[spread], np.zeros(len(spread), np.int64), n[spread])
 
@@ -318,8 +319,8 @@ def stars(lists: DataFrame, rule: Rule) -> DataFrame:
                 yield from read(*(x[:done] for x in held), cut)
                 held, cut = [x[done:] for x in held], False
             if len(held[0]) > HOLD:
-                yield from read(*held, cut)
-                # The leader stays, and the last row, to know its repetitions.
+                yield from read(*held, cut, whole=False)
+                # The leader stays for what follows.
                 held, cut = [x[[0]] for x in held], True
         if held is not None:
             yield from read(*held, cut)
