@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -16,6 +17,10 @@ from pyspark.sql import functions as F
 from .wordhash import blocks
 
 
+_stored: list[str] = []
+_own: list[str] = []
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the data folder; any path that Spark can read will do."""
     workers_import(spark)
@@ -37,17 +42,11 @@ def shared_dir(spark: SparkSession) -> str:
     Only where that is unset (tests, one machine) a temporary folder is made.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="sparklode-")
-        spark.conf.set("spark.checkpoint.dir", base)
-        atexit.register(_remove, base.removeprefix("file://"))
-    return base
-
-
-def _remove(path: str) -> None:
-    import shutil
-
-    shutil.rmtree(path, ignore_errors=True)
+    if not base and not _own:
+        folder = tempfile.mkdtemp(prefix="sparklode-")
+        _own.append("file://" + folder)
+        atexit.register(shutil.rmtree, folder, True)
+    return base or _own[0]
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -58,20 +57,19 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if not _stored:
+        atexit.register(lambda: spark.sparkContext._jsc and _clear(spark))
+    _stored.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_stored(spark: SparkSession, *frames: DataFrame) -> None:
-    """Delete the files of stored tables that no later step reads."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    base = shared_dir(spark)
-    for df in frames:
-        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            if os.path.basename(base.rstrip("/")) in folder:
-                path.getFileSystem(conf).delete(path, True)
+def _clear(spark: SparkSession) -> None:
+    """Delete the stored tables of this process; they are only read within it."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for name in _stored:
+        path = jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(conf).delete(path, True)
 
 
 def ascii_lower(col: Column) -> Column:
