@@ -42,7 +42,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored
@@ -76,6 +76,15 @@ class Rule:
         """The least overlap of linked sets of sizes a and b."""
         return -(-self.percent * (a + b) // (100 + self.percent))
 
+    def may_link(self, n, at, m, to):
+        """Whether sets of sizes n and m may link that share the shingle at places ``at`` and ``to`` of their orders.
+
+        Linked sets share a shingle among the first n - o(n, m) + 1 of the one
+        and the first m - o(n, m) + 1 of the other.
+        """
+        need = -(-self.percent * (n + m) // (100 + self.percent))
+        return (at <= n - need) & (to <= m - need)
+
     def largest(self, n: int) -> int:
         """The largest size that links with size n."""
         return 100 * n // self.percent
@@ -221,14 +230,14 @@ def heavy_order(described: DataFrame, rule: Rule) -> Order:
     return Order(keys[by], count[by], boundary(rule, min(met, 1.0)))
 
 
-def keys_of(s: np.ndarray, order: Order, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
-    """The keys under which a set is listed, and how often each is expected to be."""
+def keys_of(s: np.ndarray, order: Order, rule: Rule) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The keys under which a set is listed, how often each is expected to be, and its place in the order (-1: a subset)."""
     n = len(s)
-    out, often = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    out, often, place = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     if n > order.small or rule.largest(n) > order.small:
         arranged, count = order.arrange(s)
         p = int(rule.prefix(n))
-        out, often = arranged[:p], count[:p]
+        out, often, place = arranged[:p], count[:p], np.arange(p)
     if 0 < n <= order.small:
         subsets = []
         for b in range(rule.least(n), min(rule.largest(n), order.small) + 1):
@@ -236,42 +245,44 @@ def keys_of(s: np.ndarray, order: Order, rule: Rule) -> tuple[np.ndarray, np.nda
             picks = np.array(list(combinations(range(n), rule.overlap(n, b))))
             subsets.append(mix(mix(s[picks]).sum(axis=1) * np.uint64(3) + tag))
         subsets = np.concatenate(subsets)
-        out, often = np.concatenate([out, subsets]), np.concatenate([often, np.zeros(len(subsets), np.int64)])
-    return out, often
+        none = np.zeros(len(subsets), np.int64)
+        out, often, place = np.concatenate([out, subsets]), np.concatenate([often, none]), np.concatenate([place, none - 1])
+    return out, often, place
 
 
 def listed(docs: DataFrame, order: Order, rule: Rule) -> DataFrame:
-    """(key, salt, cls, n): each class under its keys, once a partition; salt -1 where a key has one list."""
+    """(key, salt, cls, n, place): each class under its keys, once a partition; salt -1 where a key has one list."""
     shared = docs.sparkSession.sparkContext.broadcast(order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
             for _, part in blocks(batch.column(0)):
-                keys, salts, owners, sizes = [], [], [], []
+                keys, salts, owners, sizes, places = [], [], [], [], []
                 for s in shingle_sets(part, rule):
                     if not len(s) or (c := digest(s)) in seen:
                         continue
                     seen.add(c)
-                    own, often = keys_of(s, shared.value, rule)
+                    own, often, place = keys_of(s, shared.value, rule)
                     keys.append(own)
                     salts.append(np.where(often > SALT_AT, c % np.maximum(-(-often // SALT_AT), 1), -1))
                     owners.append(np.full(len(own), c, np.int64))
                     sizes.append(np.full(len(own), len(s), np.int32))
+                    places.append(place.astype(np.int32))
                 if keys:
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(salts).astype(np.int32)), pa.array(np.concatenate(owners)), pa.array(np.concatenate(sizes))],
-                        names=["key", "salt", "cls", "n"],
+                        [pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(salts).astype(np.int32)), pa.array(np.concatenate(owners)), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(places))],
+                        names=["key", "salt", "cls", "n", "place"],
                     )
 
-    return docs.select("text").mapInArrow(run, "key long, salt int, cls long, n int")
+    return docs.select("text").mapInArrow(run, "key long, salt int, cls long, n int, place int")
 
 
 def stars(lists: DataFrame, rule: Rule) -> DataFrame:
     """What the lists say, read as a sorted stream:
 
-    kind 0 (a = leader, b = member, n = keys in common) of pairs whose sizes may link;
-    kind 1 (key, a = class, n = size) of lists of three classes or more, and of salted ones;
+    kind 0 (a = leader, b = member, n = keys in common) of pairs that may link;
+    kind 1 (key, a = class, b = place, n = size) of lists of three classes or more, and of salted ones;
     kind 2 (key, a = leader, n = size) of salted lists.
     """
 
@@ -281,15 +292,14 @@ def stars(lists: DataFrame, rule: Rule) -> DataFrame:
         def rows(kind: int, key, a, b, n) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(key), pa.array(a), pa.array(b), pa.array(n.astype(np.int64))], names=names)
 
-        def read(key, salt, cls, n, cut: bool, whole: bool = True) -> Iterator[pa.RecordBatch]:
+        def read(key, salt, cls, n, place, cut: bool, whole: bool = True) -> Iterator[pa.RecordBatch]:
             """Lists; ``cut``: the first row is the leader of a list whose start was passed on before; not ``whole``: a list that goes on."""
             first = np.concatenate([[True], (key[1:] != key[:-1]) | (salt[1:] != salt[:-1])])
             starts = np.flatnonzero(first)
             count = np.diff(np.append(starts, len(key)))
             lead = np.repeat(starts, count)
             member = ~first
-            small, large = np.minimum(n, n[lead]), np.maximum(n, n[lead])
-            pair = np.flatnonzero(member & (100 * small >= rule.percent * large))
+            pair = np.flatnonzero(member & rule.may_link(n.astype(np.int64), place, n[lead].astype(np.int64), place[lead]))
             if len(pair):
                 both, times = np.unique(np.stack([cls[lead[pair]], cls[pair]], 1), axis=0, return_counts=True)
                 yield rows(0, np.zeros(len(both), np.int64), both[:, 0], both[:, 1], times)
@@ -299,20 +309,20 @@ def stars(lists: DataFrame, rule: Rule) -> DataFrame:
                 long[0] = False
             at = np.flatnonzero(long)
             if len(at):
-                yield rows(1, key[at], cls[at], np.zeros(len(at), np.int64), n[at])
+                yield rows(1, key[at], cls[at], place[at].astype(np.int64), n[at])
             spread = starts[salt[starts] >= 0]
             if len(spread):
                 yield rows(2, key[spread], cls[spread], np.zeros(len(spread), np.int64), n[spread])
 
         held, cut = None, False
         for batch in batches:
-            new = [batch.column(i).to_numpy() for i in range(4)]
+            new = [batch.column(i).to_numpy() for i in range(5)]
             if not len(new[0]):
                 continue
             held = new if held is None else [np.concatenate(x) for x in zip(held, new, strict=True)]
-            key, salt, cls, _ = held
+            key, salt, cls, *_ = held
             again = np.concatenate([[False], (key[1:] == key[:-1]) & (salt[1:] == salt[:-1]) & (cls[1:] == cls[:-1])])
-            held = key, salt, cls, _ = [x[~again] for x in held]
+            held = key, salt, cls, *_ = [x[~again] for x in held]
             last = np.flatnonzero((key != key[-1]) | (salt != salt[-1]))
             done = last[-1] + 1 if len(last) else 0
             if done:
@@ -390,26 +400,54 @@ def link_classes(docs: DataFrame, rule: Rule, described: DataFrame) -> DataFrame
     links = stored(verify(best, named, docs, rule), "links")
     parts = connected(links)
 
-    # Then what still lies apart: other leaders, and other members of long lists.
-    label = parts.select(F.col("node").alias("cls"), F.col("component").alias("at"))
+    # Then what still lies apart: first one partner in another component for each key, other leaders too ...
+    tried = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    member = stored(said.where("kind = 1").select("key", F.col("a").alias("cls"), F.col("b").cast("int").alias("place"), F.col("n").cast("int").alias("n")).distinct(), "members")
+    others = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+    apart = lists_apart(member, parts)
+    ends = apart.groupBy("key").agg(*[f(F.struct("at", "cls", "n", "place")).alias(x) for f, x in ((F.min, "lo"), (F.max, "hi"))])
+    met = apart.join(ends, "key").withColumn("y", F.when(F.col("at") != F.col("lo.at"), F.col("lo")).otherwise(F.col("hi")))
+    met = met.where((F.col("at") != F.col("y.at")) & may_link_columns(rule, "", "y."))
+    partners = met.select(F.least("cls", "y.cls").alias("a"), F.greatest("cls", "y.cls").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+    links, tried, parts = link_more(across(others, parts).union(partners).distinct(), links, tried, named, docs, rule)
+
+    # ... then all pairs between components.
+    rest = stored(lists_apart(member, parts), "apart")
+    x, y = rest.alias("x"), rest.alias("y")
+    fits = (F.col("x.key") == F.col("y.key")) & (F.col("x.cls") < F.col("y.cls")) & (F.col("x.at") != F.col("y.at")) & may_link_columns(rule, "x.", "y.")
+    crossing = x.join(y, fits).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+    return link_more(crossing, links, tried, named, docs, rule)[2]
 
-    def placed(df: DataFrame, col: str, name: str) -> DataFrame:
-        return df.join(label.toDF(col, "__at"), col, "left").withColumn(name, F.coalesce("__at", col)).drop("__at")
 
-    others = placed(placed(near.select("a", "b").join(best, ["a", "b"], "left_anti"), "a", "at_a"), "b", "at_b").where("at_a != at_b")
-    member = stored(placed(said.where("kind = 1").select("key", F.col("a").alias("cls"), F.col("n").cast("int").alias("n")).distinct(), "cls", "at"), "members")
-    apart = member.groupBy("key").agg(F.min("at").alias("lo"), F.max("at").alias("hi")).where("lo < hi").select("key")
-    rest = stored(member.join(apart, "key", "left_semi"), "apart")
-    x, y = rest.alias("x"), rest.alias("y")
-    fits = (F.col("x.cls") < F.col("y.cls")) & (F.col("x.at") != F.col("y.at"))
-    fits &= (100 * F.col("x.n") >= rule.percent * F.col("y.n")) & (100 * F.col("y.n") >= rule.percent * F.col("x.n"))
-    crossing = x.join(y, (F.col("x.key") == F.col("y.key")) & fits).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"))
-    ordered = others.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    tried = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    late = ordered.union(crossing).distinct().join(tried, ["a", "b"], "left_anti").withColumn("n", F.lit(0).cast("long"))
-    late = stored(plausible(late, named, rule).select("a", "b"), "late")
-    more = stored(verify(late, named, docs, rule), "links")
-    return connected(links.union(more))
+def placed(df: DataFrame, parts: DataFrame, col: str, name: str) -> DataFrame:
+    """Adds the component of a class; a class without links is its own."""
+    return df.join(parts.toDF(col, "__at"), col, "left").withColumn(name, F.coalesce("__at", col)).drop("__at")
+
+
+def across(pairs: DataFrame, parts: DataFrame) -> DataFrame:
+    """The pairs between different components."""
+    return placed(placed(pairs, parts, "a", "at_a"), parts, "b", "at_b").where("at_a != at_b").select("a", "b")
+
+
+def lists_apart(member: DataFrame, parts: DataFrame) -> DataFrame:
+    """The members (key, cls, n, place, at) of keys that hold more than one component."""
+    now = placed(member, parts, "cls", "at")
+    apart = now.groupBy("key").agg(F.min("at").alias("lo"), F.max("at").alias("hi")).where("lo < hi").select("key")
+    return now.join(apart, "key", "left_semi")
+
+
+def may_link_columns(rule: Rule, x: str, y: str) -> Column:
+    """``Rule.may_link`` over columns n and place with the given prefixes."""
+    n, at, m, to = (F.col(p + c) for p in (x, y) for c in ("n", "place"))
+    need = F.ceil(rule.percent * (n + m) / (100.0 + rule.percent))
+    return (at <= n - need) & (to <= m - need)
+
+
+def link_more(pairs: DataFrame, links: DataFrame, tried: DataFrame, named: DataFrame, docs: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Examines pairs: the links and tried pairs with them, and the components that follow."""
+    late = stored(plausible(pairs.withColumn("n", F.lit(0).cast("long")), named, rule).select("a", "b"), "late")
+    links = stored(links.union(verify(late, named, docs, rule)), "links")
+    return links, tried.union(late), connected(links)
 
 
 def components(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
