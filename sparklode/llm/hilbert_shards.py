@@ -73,8 +73,10 @@ def _cell(name: str) -> Column:
     return F.when(F.col(name).isNull(), F.lit(0)).otherwise(spread).cast("long")
 
 
-def ordered(docs: DataFrame) -> DataFrame:
-    """doc_id, size, text_crc32, curve and the exact 0-based ``rank`` along the curve."""
+def ordered(docs: DataFrame, carry: bool = False) -> DataFrame:
+    """doc_id, size, text_crc32, curve, the exact 0-based ``rank`` along the curve and the ``total`` of rows; ``carry``: also the whole ``row``."""
+    more = ["row"] if carry else []
+    docs = docs.select("doc_id", "text", "lang", "source", *([F.struct(*docs.columns).alias("row")] if carry else []))
     text = text_of()
     size = F.octet_length(text).cast("long")
     log_size = F.least(F.floor(F.log2(size + 1.0) * 3), F.lit((1 << BITS) - 1)).cast("long")
@@ -84,8 +86,8 @@ def ordered(docs: DataFrame) -> DataFrame:
         F.crc32(text.cast("binary")).alias("text_crc32"),
         _cell("lang").alias("__a"),
         _cell("source").alias("__b"),
-        log_size.alias("__c"),
-    ).select("doc_id", "size", "text_crc32", _curve("__a", "__b", "__c").alias("curve"))
+        log_size.alias("__c"), *more,
+    ).select("doc_id", "size", "text_crc32", _curve("__a", "__b", "__c").alias("curve"), *more)
     keys = ["curve", "text_crc32", "size", "doc_id"]
     placed = stored(
         rows.repartitionByRange(*keys)
@@ -101,20 +103,25 @@ def ordered(docs: DataFrame) -> DataFrame:
         starts.append(F.lit(total).cast("long"))
         total += counts.get(part, 0)
     before = F.array(*starts)[F.col("__part")] if starts else F.lit(0).cast("long")
-    return placed.select("doc_id", "size", "text_crc32", "curve", (before + F.col("__place")).alias("rank"), F.lit(total).cast("long").alias("total"))
+    return placed.select("doc_id", "size", "text_crc32", "curve", (before + F.col("__place")).alias("rank"), F.lit(total).cast("long").alias("total"), *more)
+
+
+def _cut(placed: DataFrame, n_shards: int) -> DataFrame:
+    """Adds shard and slot: runs of the order whose counts differ by one at most."""
+    shard = F.floor(F.expr(f"rank * {n_shards} DIV total")).cast("int")
+    first = F.expr(f"(shard * total + {n_shards - 1}) DIV {n_shards}")
+    return placed.withColumn("shard", shard).withColumn("slot", (F.col("rank") - first).cast("long"))
 
 
 def assign(docs: DataFrame, n_shards: int = 40) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot (gapless from 0), grown_shard (null under this law), curve."""
-    cut = ordered(docs).withColumn("shard", F.floor(F.expr(f"rank * {n_shards} DIV total")).cast("int"))
-    first = F.expr(f"(shard * total + {n_shards - 1}) DIV {n_shards}")
-    return cut.select(
-        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard",
-        (F.col("rank") - first).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "curve",
+    return _cut(ordered(docs), n_shards).select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve",
     )
 
 
 def write_shards(docs: DataFrame, path: str, n_shards: int = 40) -> None:
-    """Write the whole rows, one folder per shard, each in curve order."""
-    places = assign(docs, n_shards).select("doc_id", "shard", "slot")
-    (docs.join(places, "doc_id").repartition(n_shards, "shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path))
+    """Write the whole rows as Parquet, one folder ``shard=k`` each, in curve order."""
+    rows = _cut(ordered(docs, carry=True), n_shards).select("row.*", F.col("shard").alias("__shard"), F.col("slot").alias("__slot"))
+    rows = rows.drop("shard").withColumnRenamed("__shard", "shard").repartition(n_shards, "shard").sortWithinPartitions("shard", "__slot")
+    rows.drop("__slot").write.partitionBy("shard").parquet(path)
