@@ -468,8 +468,12 @@ def components(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
 
 def one_of_each(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     """The documents, one (the smallest doc_id) of each component; one row of each doc_id."""
-    keep = components(docs, rule).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__keep")).distinct()
-    return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("__keep")), "left_semi").dropDuplicates(["doc_id"])
+    keep = stored(components(docs, rule).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct(), "keep")
+    # One shuffle of the texts serves the join and the choice of one row.
+    named = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    if keep.where("doc_id IS NULL").isEmpty():
+        return named
+    return named.union(docs.where("doc_id IS NULL").limit(1))
 
 
 ORACLE_SQL = r"""
