@@ -8,23 +8,30 @@
    gives the right singular vectors and values.
 3. All passages and the benchmark's are projected on the singular vectors,
    scaled towards equal weight; pairs with a cosine of ``COSINE`` or more are
-   candidates.
+   candidates. So is every stretch with enough words of an item to be accepted:
+   of the words that step 4 needs, those that remain without the item's most
+   frequent words, ``LIGHT`` of them at least, must stand within one stretch.
+   This misses no pair that step 4 accepts, however short or changed.
 4. A candidate is settled on words: the longest common subsequence of the whole
-   item and the stretch of the document around the passage must hold ``COPY`` of
-   the item, or ``PARAPHRASE`` of it and ``ANSWER`` of the item's answer (its
-   last sentence, or the last third where it has only one).
+   item and a stretch of the document (the item's length, and a quarter of it
+   or ``STEP`` words more at either end) must hold ``COPY`` of the item, or
+   ``PARAPHRASE`` of it and ``ANSWER`` of the item's answer (its last sentence,
+   or the last third where it has only one). The best stretch is reported, with
+   the highest cosine of the passages in it.
 
 The benchmark is a stated query set: it is read in blocks of ``ITEMS`` items, and
 each block meets every document. Nothing grows with the corpus on the driver:
 the summed matrices have a fixed size.
 
-Edge cases: null and empty texts, and texts or items under ``LEAST`` words match
+Edge cases: null and empty texts, and items under ``LEAST`` words match
 nothing; an empty benchmark or table gives an empty result; repeated items are
 found under each id, repeated documents each.
 """
 
 from __future__ import annotations
 
+import math
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
@@ -44,6 +51,10 @@ COSINE = 0.6
 COPY, PARAPHRASE, ANSWER = 0.8, 0.6, 0.8
 LEAST = 6
 ITEMS = 2000
+#: Share of the words needed of an item that the search by words looks for, rare ones first.
+LIGHT = 0.35
+#: Places of item words that are sorted at once.
+PLACES = 4_000_000
 #: Singular directions are divided by this power of their values, so that rare words count.
 WHITEN = 1.0
 
@@ -144,8 +155,8 @@ def singular(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return u, np.sqrt(np.maximum(s * s - shift, 0))
 
 
-def latent_space(docs: DataFrame) -> np.ndarray:
-    """The table that takes a bucket to its share of a passage's latent vector."""
+def latent_space(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The table that takes a bucket to its share of a passage's latent vector, and the buckets' inverse document frequencies."""
     idf = frequencies(docs)
     shared = docs.sparkSession.sparkContext.broadcast(idf)
 
@@ -158,7 +169,7 @@ def latent_space(docs: DataFrame) -> np.ndarray:
             yield sliced(total, SLICES)
 
     z = sum_matrices(docs.select("text").mapInArrow(run, "slice int, cells binary"), BUCKETS, RANK, SLICES)
-    return space_of(idf, z)
+    return space_of(idf, z), idf
 
 
 def space_of(idf: np.ndarray, z: np.ndarray) -> np.ndarray:
@@ -183,7 +194,12 @@ def common(a: list[int], b: list[int]) -> int:
 
 @dataclass
 class Items:
-    """A block of benchmark items: word hashes, answers, and latent windows with the item of each."""
+    """A block of benchmark items: word hashes, answers, latent windows with the item of each, and light words.
+
+    ``need`` words of an item must be held by a stretch of ``reach`` words, ``must`` of
+    them light; ``light`` are the light words of all items, ``word`` and ``holder`` pair
+    them with their items.
+    """
 
     ids: list
     words: list[list[int]]
@@ -192,9 +208,32 @@ class Items:
     windows: np.ndarray
     owner: np.ndarray
     offset: np.ndarray
+    need: np.ndarray
+    reach: np.ndarray
+    must: np.ndarray
+    light: np.ndarray
+    word: np.ndarray
+    holder: np.ndarray
+
+
+def slack_of(n: int) -> int:
+    return max(STEP, n // 4)
+
 
+def light_words(words: list[int], need: int, idf: np.ndarray) -> tuple[list[int], int]:
+    """The words left without the most frequent ones, and how many of ``need`` common words must be of them."""
+    counts = Counter(words)
+    spare = need - max(1, math.ceil(LIGHT * need))
+    kept, left = [], spare
+    for w in sorted(counts, key=lambda w: (idf[w % BUCKETS], w)):
+        if counts[w] <= left:
+            left -= counts[w]
+        else:
+            kept.append(w)
+    return kept, need - (spare - left)
 
-def prepare(ids: list, texts: list[bytes], table: np.ndarray) -> Items:
+
+def prepare(ids: list, texts: list[bytes], table: np.ndarray, idf: np.ndarray) -> Items:
     b = Batch(texts, WORDS, lower=True)
     h = b.hashes
     words, answers = [], []
@@ -206,7 +245,40 @@ def prepare(ids: list, texts: list[bytes], table: np.ndarray) -> Items:
         answers.append(own[-n:] if n else own[-max(1, len(own) // 3) :])
     x, owner, start = latent(table, b, bucket_of(h))
     long = b.count[owner] >= LEAST
-    return Items(ids, words, answers, [set(w) for w in words], x[long], owner[long], (start - b.first[owner])[long])
+    need = [next((c for c in range(len(w)) if c / len(w) >= PARAPHRASE), len(w)) for w in words]
+    reach = [len(w) + 2 * slack_of(len(w)) for w in words]
+    kept = [light_words(w, n, idf) if len(w) >= LEAST else ([], 1) for w, n in zip(words, need, strict=True)]
+    light, word = np.unique(np.array([w for own, _ in kept for w in own], np.uint64), return_inverse=True)
+    holder = np.repeat(np.arange(len(kept)), [len(own) for own, _ in kept])
+    must = np.array([m for _, m in kept])
+    return Items(ids, words, answers, [set(w) for w in words], x[long], owner[long], (start - b.first[owner])[long], np.array(need), np.array(reach), must, light, word, holder)
+
+
+def crowded(b: Batch, h: np.ndarray, items: Items) -> Iterator[np.ndarray]:
+    """(text, item, first word, end) of the surroundings of all stretches with as many light words of an item as it must have."""
+    ends = b.first + b.count
+    at = np.minimum(np.searchsorted(items.light, h), len(items.light) - 1)
+    held = np.flatnonzero(items.light[at] == h)
+    by = held[np.argsort(at[held], kind="stable")]
+    times = np.bincount(at[held], minlength=len(items.light))
+    first = np.cumsum(times) - times
+    # An item's places are at most the words; as many items at once as keep to PLACES.
+    turn = np.cumsum(np.bincount(items.holder, weights=times[items.word], minlength=len(items.ids))) // PLACES
+    for k in np.unique(turn):
+        own = turn[items.holder] == k
+        word, holder = items.word[own], items.holder[own]
+        n = times[word]
+        place = by[np.repeat(first[word] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        key = np.sort(np.repeat(holder, n) * len(h) + place)
+        item, place = key // len(h), key % len(h)
+        text = np.searchsorted(ends, place, side="right")
+        last = np.arange(len(key)) + items.must[item] - 1
+        full = last < len(key)
+        last = np.minimum(last, max(len(key) - 1, 0))
+        full &= (item[last] == item) & (text[last] == text) & (place[last] - place < items.reach[item])
+        text, item, place = text[full], item[full], place[full]
+        reach = items.reach[item]
+        yield np.stack([text, item, np.maximum(b.first[text], place - reach + 1), np.minimum(ends[text], place + reach)])
 
 
 def matches(texts: list[bytes], items: Items, table: np.ndarray) -> Iterator[tuple[int, int, float, float, float, int, int]]:
@@ -215,53 +287,74 @@ def matches(texts: list[bytes], items: Items, table: np.ndarray) -> Iterator[tup
     h = b.hashes
     if not len(h) or not len(items.windows):
         return
+    lengths = np.array([len(w) for w in items.words])
     x, text, start = latent(table, b, bucket_of(h))
-    hits = []
+    hits = list(crowded(b, h, items))
     for at in range(0, len(x), 4096):
         near = x[at : at + 4096] @ items.windows.T
         row = np.flatnonzero(near.max(axis=1) >= COSINE)
         i, q = np.nonzero(near[row] >= COSINE)
-        w = row[i]
-        # Where the item would begin in the document if its window lies on this one.
-        hits.append(np.stack([text[at + w], items.owner[q], start[at + w] - items.offset[q], (near[w, q] * 1e6).astype(np.int64)]))
-    text, item, begin, near = np.concatenate(hits, axis=1)
-    by = np.lexsort((begin, item, text))
-    text, item, begin, near = (v[by].tolist() for v in (text, item, begin, near))
+        w = at + row[i]
+        t, item = text[w], items.owner[q]
+        # Where the item would begin in the document if its window lies on this one, and the slack before.
+        begin = start[w] - items.offset[q] - (items.reach[item] - lengths[item]) // 2
+        hits.append(np.stack([t, item, np.maximum(b.first[t], begin), np.minimum((b.first + b.count)[t], begin + items.reach[item])]))
+    text_of, item_of, begin, end = np.concatenate(hits, axis=1)
+    by = np.lexsort((begin, item_of, text_of))
+    text_of, item_of, begin, end = (v[by].tolist() for v in (text_of, item_of, begin, end))
     k = 0
-    while k < len(text):
-        t, i = text[k], item[k]
-        words, answer, wanted = items.words[i], items.answers[i], items.wanted[i]
-        lo, hi = int(b.first[t]), int(b.first[t] + b.count[t])
-        slack = max(STEP, len(words) // 4)
-        best, tried = None, None
-        while k < len(text) and text[k] == t and item[k] == i:
-            at, cosine = begin[k], near[k] / 1e6
-            k += 1
-            if tried is not None and at - tried < STEP // 2:
-                continue
-            tried = at
-            a, z = max(lo, at - slack), min(hi, at + len(words) + slack)
-            around = h[a:z].tolist()
-            if len(wanted.intersection(around)) < PARAPHRASE * len(wanted):
-                continue
-            share = common(words, around) / len(words)
-            known = common(answer, around) / len(answer)
-            if (share >= COPY or share >= PARAPHRASE and known >= ANSWER) and (best is None or share > best[1]):
-                best = (cosine, share, known, a - lo, z - lo)
+    while k < len(text_of):
+        t, i = text_of[k], item_of[k]
+        best = None
+        while k < len(text_of) and text_of[k] == t and item_of[k] == i:
+            a, z = begin[k], end[k]
+            while k < len(text_of) and text_of[k] == t and item_of[k] == i and begin[k] <= z:
+                z = max(z, end[k])
+                k += 1
+            found = best_stretch(h[a:z].tolist(), items, i)
+            if found and (best is None or found[0] > best[0]):
+                best = (*found[:2], a + found[2], a + found[3])
         if best:
-            yield (t, i, *best)
-
-
-def item_blocks(benchmark: DataFrame, table: np.ndarray) -> Iterator[Items]:
+            share, known, a, z = best
+            windows = items.windows[items.owner == i]
+            over = np.flatnonzero((text == t) & (start < z) & (start + WINDOW > a))
+            yield (t, i, float((x[over] @ windows.T).max()), share, known, a - int(b.first[t]), z - int(b.first[t]))
+
+
+def best_stretch(around: list[int], items: Items, i: int) -> tuple[float, float, int, int] | None:
+    """(share of the item, share of the answer, first word, end) of the accepted stretch with most of the item."""
+    words, answer, wanted = items.words[i], items.answers[i], items.wanted[i]
+    need, reach = int(items.need[i]), int(items.reach[i])
+    if common(words, around) < need:
+        return None
+    # The best stretches begin with a word of the item.
+    places = [k for k, w in enumerate(around) if w in wanted]
+    best = None
+    for k, a in enumerate(places[: len(places) - need + 1]):
+        if places[k + need - 1] - a >= reach:
+            continue
+        stretch = around[a : a + reach]
+        share = common(words, stretch) / len(words)
+        if share < PARAPHRASE or best is not None and share <= best[0]:
+            continue
+        known = common(answer, stretch) / len(answer)
+        if share >= COPY or known >= ANSWER:
+            best = (share, known, a, a + len(stretch))
+            if share == 1:
+                break
+    return best
+
+
+def item_blocks(benchmark: DataFrame, table: np.ndarray, idf: np.ndarray) -> Iterator[Items]:
     """The benchmark, prepared, ITEMS items at a time."""
     block: list = []
     for row in benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").toLocalIterator():
         block.append(row)
         if len(block) == ITEMS:
-            yield prepare([r["item_id"] for r in block], [(r["text"] or "").encode() for r in block], table)
+            yield prepare([r["item_id"] for r in block], [(r["text"] or "").encode() for r in block], table, idf)
             block = []
     if block:
-        yield prepare([r["item_id"] for r in block], [(r["text"] or "").encode() for r in block], table)
+        yield prepare([r["item_id"] for r in block], [(r["text"] or "").encode() for r in block], table, idf)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -270,7 +363,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     names = ["doc_id", "item_id", "cosine", "item_share", "answer_share", "first_word", "last_word"]
     schema = f"doc_id {kind}, item_id long, cosine double, item_share double, answer_share double, first_word int, last_word int"
-    table = latent_space(docs)
+    table, idf = latent_space(docs)
     space = spark.sparkContext.broadcast(table)
 
     def against(items: Items) -> DataFrame:
@@ -288,13 +381,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
         return docs.select("doc_id", "text").mapInArrow(run, schema)
 
-    parts = [against(items) for items in item_blocks(benchmark, table)]
+    parts = [against(items) for items in item_blocks(benchmark, table, idf)]
     return reduce(DataFrame.union, parts) if parts else spark.createDataFrame([], schema)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that hold no benchmark item, all columns; each block of items filters what the others leave."""
-    table = latent_space(docs)
+    table, idf = latent_space(docs)
     space = docs.sparkSession.sparkContext.broadcast(table)
 
     def without(left: DataFrame, items: Items) -> DataFrame:
@@ -307,4 +400,4 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
         return kept_rows(left, lambda: judge)
 
-    return reduce(without, item_blocks(benchmark, table), docs)
+    return reduce(without, item_blocks(benchmark, table, idf), docs)

@@ -46,6 +46,37 @@ def test_items_come_in_blocks(leaks, monkeypatch):
     assert decontaminate.contaminated(docs, items).select("doc_id").distinct().count() == 15
 
 
+def accepted(doc, item):
+    """Whether any stretch of the words of ``doc`` passes for the words of ``item``, the last third its answer."""
+    n = len(item)
+    reach = n + 2 * max(decontaminate.STEP, n // 4)
+    answer = item[-max(1, n // 3) :]
+    for s in range(len(doc)):
+        stretch = doc[s : s + reach]
+        share = decontaminate.common(item, stretch) / n
+        if share >= decontaminate.COPY or share >= decontaminate.PARAPHRASE and decontaminate.common(answer, stretch) / len(answer) >= decontaminate.ANSWER:
+            return True
+    return False
+
+
+def test_short_and_changed_items_equal_brute_force(spark):
+    rnd = random.Random(8)
+    items, docs = [], []
+    for i in range(48):
+        words = prose(rnd, (6, 9, 14, 20, 28, 60)[i % 6]).split()
+        if i % 4 == 0:  # repeated words
+            words = [words[k % (len(words) // 2)] for k in range(len(words))]
+        items.append((i, " ".join(words)))
+        for changed in (0, 0.1, 0.2, 0.3, 0.4):
+            own = [w if rnd.random() >= changed else prose(rnd, 1) for w in words]
+            docs.append((len(docs), " ".join([prose(rnd, rnd.randrange(80)), *own, prose(rnd, rnd.randrange(80))])))
+    wanted = {(d, i) for d, text in docs for i, item in items if accepted(text.split(), item.split())}
+    frames = spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string")
+    found = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(*frames).collect()}
+    assert len(wanted) > 150
+    assert found == wanted
+
+
 def test_singular_vectors_of_a_low_rank_matrix():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(60, 5)) @ rng.normal(size=(5, decontaminate.BUCKETS))
