@@ -8,7 +8,7 @@ an array of chunk vectors per document.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
@@ -107,6 +107,25 @@ def encode_queries(queries: DataFrame, tokenizer: Tokenizer, encoder: Encoder) -
     return queries.withColumn("vec", vector("text"))
 
 
+def query_blocks(queries: DataFrame) -> Iterator[list]:
+    """The rows of all queries, ``QUERY_BLOCK`` at a time."""
+    block = []
+    for row in queries.toLocalIterator():
+        block.append(row)
+        if len(block) == QUERY_BLOCK:
+            yield block
+            block = []
+    if block:
+        yield block
+
+
+def all_pairs(queries: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Every chunk beside every query; queries are broadcast a block at a time."""
+    spark = queries.sparkSession
+    parts = [chunks.crossJoin(F.broadcast(spark.createDataFrame(block, queries.schema))) for block in query_blocks(queries)]
+    return reduce(DataFrame.union, parts) if parts else chunks.crossJoin(queries)
+
+
 def search(queries: DataFrame, chunks: DataFrame, k: int, on: list[str] | None = None) -> DataFrame:
     """(query_id, ord, score, rank) by column expressions.
 
@@ -152,14 +171,9 @@ def blocked_search(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
 
         return chunks.select("ord", "vec").mapInArrow(run, "query_id long, ord long, score double")
 
-    parts, block = [], []
-    for row in queries.select("query_id", "vec").toLocalIterator():
-        block.append(row)
-        if len(block) == QUERY_BLOCK:
-            parts.append(against(block))
-            block = []
-    if block or not parts:
-        parts.append(against(block) if block else chunks.select(F.lit(0).cast("long").alias("query_id"), "ord", F.lit(0.0).alias("score")).limit(0))
+    parts = [against(block) for block in query_blocks(queries.select("query_id", "vec"))]
+    if not parts:
+        parts.append(chunks.select(F.lit(0).cast("long").alias("query_id"), "ord", F.lit(0.0).alias("score")).limit(0))
     found = parts[0]
     for part in parts[1:]:
         found = found.union(part)

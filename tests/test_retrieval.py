@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparklode.operators import assemble, bm25, dense, evaluate, tfidf
-from sparklode.plans.registry import stub_encoder, stub_tokenizer
+from sparklode.plans.registry import QUERIES, stub_encoder, stub_tokenizer
 from sparklode.sources import corpus as source
 from sparklode.streaming.serve import serve
 
@@ -60,6 +60,15 @@ def test_dense_plans_agree(spark):
     assert dense.blocked_search(asked.limit(0), chunks, 4).count() == 0
 
 
+def test_all_query_vectors_are_compared(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(dense, "QUERY_BLOCK", 2)
+    rows = [(i, [float(i), 1.0], i % 3) for i in range(100)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    found = QUERIES["dot_similarity"](spark, str(tmp_path)).collect()
+    assert {(r["query_id"], r["vec_id"], r["score"]) for r in found} == {(q, i, q * i + 1.0) for q in range(0, 100, 20) for i in range(100)}
+    assert len(found) == 500
+
+
 def test_dense_index_keeps_all_documents(spark):
     docs = spark.createDataFrame([(0, ["draw a box"]), (1, []), (2, ["w " * 600])], "ord long, comments array<string>")
     rows = {r["ord"]: r["embeddings"] for r in dense.build_index(docs, stub_tokenizer, stub_encoder).collect()}
