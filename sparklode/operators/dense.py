@@ -133,7 +133,7 @@ def search(queries: DataFrame, chunks: DataFrame, k: int, on: list[str] | None =
     names columns both must agree in, such as the language.
     """
     asked = queries.withColumnRenamed("vec", "qvec")
-    pairs = chunks.join(asked, on) if on else chunks.crossJoin(F.broadcast(asked.limit(QUERY_BLOCK)))
+    pairs = chunks.join(asked, on) if on else all_pairs(asked, chunks)
     scored = pairs.groupBy("query_id", "ord").agg(F.max(dot(F.col("qvec"), F.col("vec"))).alias("score"))
     return top_k(scored.withColumn("score", F.round("score", 6)), k, "query_id")
 

@@ -60,6 +60,17 @@ def test_dense_plans_agree(spark):
     assert dense.blocked_search(asked.limit(0), chunks, 4).count() == 0
 
 
+def test_dense_plans_answer_all_queries(spark, monkeypatch):
+    monkeypatch.setattr(dense, "QUERY_BLOCK", 2)
+    rows = [(i // 3, [float(i % 7), float(i % 11), 1.0]) for i in range(60)]
+    chunks, asked = spark.createDataFrame(rows, "ord long, vec array<float>"), spark.createDataFrame([(q, rows[q][1]) for q in range(5)], "query_id long, vec array<float>")
+    by = ["query_id", "rank"]
+    a, b = dense.search(asked, chunks, 4).orderBy(*by).collect(), dense.blocked_search(asked, chunks, 4).orderBy(*by).collect()
+    assert [r["query_id"] for r in a] == [q for q in range(5) for _ in range(4)]
+    assert [(r["query_id"], r["ord"], r["score"], r["rank"]) for r in a] == [(r["query_id"], r["ord"], r["score"], r["rank"]) for r in b]
+    assert dense.search(asked.limit(0), chunks, 4).count() == 0
+
+
 def test_all_query_vectors_are_compared(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(dense, "QUERY_BLOCK", 2)
     rows = [(i, [float(i), 1.0], i % 3) for i in range(100)]
