@@ -100,3 +100,13 @@ def test_kneser_ney_terms_sum_to_one():
     contexts, owner = np.unique(gram >> 8, return_inverse=True)
     own, weight = toxicity._class_terms(gram, np.ones(len(gram)), contexts, owner)
     assert np.bincount(owner, weights=own) + weight == pytest.approx(np.ones(len(contexts)))
+
+
+def test_long_words_are_read_whole(spark):
+    good, bad = "好" * 16, "坏" * 16
+    rows = spark.createDataFrame([(good + bad, 0), (bad + "x", 1)], "text string, toxic int")
+    found = {bytes(r["word"]).decode(): (r["ordinary"], r["toxic"]) for r in toxicity.count_words(rows, "toxic").collect()}
+    assert found == {good: (1, 0), bad: (1, 1), "x": (0, 1)}
+    model = toxicity.fit_counts([good.encode(), bad.encode()], np.array([50, 1]), np.array([1, 50]))
+    a, b, c = toxicity.features(model, [t.encode() for t in (good + good, good + bad, good + " " + bad)])
+    assert (a != b).any() and b == pytest.approx(c)
