@@ -110,3 +110,7 @@ def test_long_words_are_read_whole(spark):
     model = toxicity.fit_counts([good.encode(), bad.encode()], np.array([50, 1]), np.array([1, 50]))
     a, b, c = toxicity.features(model, [t.encode() for t in (good + good, good + bad, good + " " + bad)])
     assert (a != b).any() and b == pytest.approx(c)
+
+
+def test_toxicity_learns_from_as_many_rows_as_quality():
+    assert toxicity.SAMPLE == quality.SAMPLE == 6000
