@@ -61,15 +61,29 @@ def stored(df: DataFrame, name: str) -> DataFrame:
         atexit.register(lambda: spark.sparkContext._jsc and _clear(spark))
     _stored.append(path)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = [path]
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete stored tables that nothing will read again."""
+    for df in frames:
+        for path in getattr(df, "stored_at", ()):
+            if path in _stored:
+                _stored.remove(path)
+                _delete(df.sparkSession, path)
+
+
+def _delete(spark: SparkSession, name: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def _clear(spark: SparkSession) -> None:
     """Delete the stored tables of this process; they are only read within it."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     for name in _stored:
-        path = jvm.org.apache.hadoop.fs.Path(name)
-        path.getFileSystem(conf).delete(path, True)
+        _delete(spark, name)
 
 
 def ascii_lower(col: Column) -> Column:

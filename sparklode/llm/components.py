@@ -4,7 +4,8 @@ Each round hangs all larger neighbours of a node on the least of its
 neighbourhood, then all smaller ones; components become stars around their
 least node in a number of rounds logarithmic in practice. Minima are taken by
 partial aggregation and joined back, so a node with many edges is no group in
-one task. Every round is written to the shared folder.
+one task. Every round is written to the shared folder,
+and the one before goes.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, stored
 
 
 def _signature(edges: DataFrame) -> tuple:
@@ -36,11 +37,14 @@ def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
     now = stored(edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     before = _signature(now)
     for _ in range(rounds):
-        now = stored(_star(_star(now, True), False), "edges")
+        last, now = now, stored(_star(_star(now, True), False), "edges")
+        discard(last)
         after = _signature(now)
         if after == before:
             break
         before = after
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    out = now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    out.stored_at = now.stored_at
+    return out

@@ -4,8 +4,8 @@ Two documents link when their sets of word shingles have a Jaccard similarity
 of the threshold or more; components of links are returned. The steps:
 
 1. Every text becomes its set of shingle hashes. Equal sets are one class from
-   here on, so that copies cost one set. Partitions count their own shingles;
-   those that repeat anywhere are added up, and the frequent ones are *heavy*.
+   here on, so that copies cost one set. All shingles are counted (each once a
+   class and run of texts), and the frequent ones are *heavy*.
 2. Keys. Small sets enumerate fixed-size subsets: sets of sizes a and b link
    exactly if they share a subset of the needed overlap o(a, b), so a set lists
    its o(a, b)-subsets for each partner size b. Large sets scan inverted lists
@@ -13,11 +13,16 @@ of the threshold or more; components of links are returned. The steps:
    need only be listed under its first n - ceil(t n) + 1 shingles. The
    boundary between small and large is the size up to which subsets cost less
    than lists, by the list lengths of this corpus.
-3. Under each key the sets link to one leader first (a star, not all pairs).
-   Pairs whose parity sketches prove too many differences go; the others are
-   verified on whole sets, and components follow.
-4. A key whose sets then still lie in different components has its pairs
-   between components (and only those) examined too, so no link is lost.
+3. Under each key the sets link to one leader first (a star, not all pairs),
+   the set that has the fewest rarer shingles. Pairs whose parity sketches
+   prove too many differences go; the others are verified on whole sets, and
+   components follow.
+4. Only keys whose sets then still lie in different components are looked at
+   again. Their sets meet in cells of ``CELL`` at most, with their sketches: of
+   each two components that meet in a cell the closest pairs that sizes, places
+   and sketches allow leave it, more in every round (``ROUNDS``), until a round
+   has held back none. So no link between components is lost, pairs that cannot
+   link never become rows, and two components joined by many pairs cost a few.
 
 Very frequent keys are spread over salts whose leaders meet again, and joins
 that may be skewed are plain equi-joins, which adaptive execution splits.
@@ -28,13 +33,17 @@ settled on shingle hashes.
 
 Edge cases: null and empty texts and texts without words have an empty set and
 link with nothing; with fewer words than a shingle the whole sequence is one.
-Repeated rows are members of one class; all rows of one doc_id share their
-component, being one document. Rows with a null id count as one document
-without a name. An empty table gives an empty result.
+Each row is a document of its own: rows without an id or of one id link by
+their texts alone, like all others. A component without any id has none;
+otherwise the smallest id names it, and where ids tie, the rows are told apart
+by their texts' and then by all columns' hashes. Texts of any length are read
+whole; columns beyond doc_id and text are passed through by ``one_of_each`` and
+ignored elsewhere, whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
@@ -45,14 +54,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, stored
 from .components import connected
 from .wordhash import SPACES, Batch, blocks, mix
 
 #: Texts with a shingle from which on it is heavy, and the number of heavy ones kept in order.
 HEAVY, MAX_HEAVY = 16, 1 << 19
 #: No set above this size enumerates subsets, whatever the costs.
-LARGEST_SMALL = 12
+LARGEST_SMALL = 16
 #: Listed sets of a key that go to one task; more are salted.
 SALT_AT = 200_000
 #: What verifying a pair costs, in list rows.
@@ -60,7 +69,13 @@ VERIFY = 40.0
 #: Rows of an unfinished list that are held before they are passed on.
 HOLD = 50_000
 #: Places of the longest sketch.
-MAX_PLACES = 1 << 15
+MAX_PLACES = 1 << 14
+#: Sets that meet at once in a key that holds several components.
+CELL = 4096
+#: Pairs of two components that leave a cell, by round; the last one holds back none.
+ROUNDS = (1, 16, 256, 1 << 62)
+#: Rows read before their cells are worked off, and pairs compared at once.
+READ, PAIRS = 20_000, 500_000
 
 _STEP = [np.uint64(pow(0x9E3779B97F4A7C15, i + 1, 1 << 64)) for i in range(64)]
 
@@ -125,11 +140,11 @@ def digest(s: np.ndarray) -> int:
 def sketch(s: np.ndarray) -> bytes:
     """The parity of a set's elements by hashed place: the sketches of two sets differ in no more places than the sets do.
 
-    As many places as half the set again, rounded up to a power of two; a
-    longer sketch folds to a shorter one.
+    As many places as twice the set, rounded up to a power of two; a longer
+    sketch folds to a shorter one.
     """
     places = 64
-    while places < min(1.5 * len(s), MAX_PLACES):
+    while places < min(2 * len(s), MAX_PLACES):
         places *= 2
     at = ((s >> np.uint64(17)) & np.uint64(places - 1)).astype(np.int64)
     return np.packbits(np.bincount(at, minlength=places) & 1, bitorder="little").tobytes()
@@ -146,41 +161,53 @@ def least_difference(a: bytes, b: bytes) -> int:
     return (x ^ int.from_bytes(b, "little")).bit_count()
 
 
+def row_hash(docs: DataFrame) -> Column:
+    """A hash of all columns of a row that can be hashed."""
+    return F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema if not re.search("map|variant", f.dataType.simpleString())])
+
+
 def describe(docs: DataFrame, rule: Rule) -> DataFrame:
-    """Rows of kind 0 (id, cls, n, sketch) for each document and of kind 1 (id = shingle, n = texts here) for shingles that repeat within a partition."""
+    """id, row (hash of all columns), said (hash of the text), cls, n and sketch of each row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start, part in blocks(batch.column(3)):
+                sets = shingle_sets(part, rule)
+                own = [batch.column(i).slice(start, len(part)) for i in range(3)]
+                found = [pa.array([digest(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([sketch(s) for s in sets], pa.binary())]
+                yield pa.RecordBatch.from_arrays([*own, *found], names=["id", "row", "said", "cls", "n", "sketch"])
+
+    rows = docs.select(F.col("doc_id").cast("long"), row_hash(docs), F.xxhash64("text"), "text")
+    return rows.mapInArrow(run, "id long, row long, said long, cls long, n long, sketch binary")
+
+
+def count_shingles(docs: DataFrame, rule: Rule) -> DataFrame:
+    """(shingle, n): how often each shingle stands in the classes, counted once in a run of texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["kind", "id", "cls", "n", "sketch"]
         held, size, seen = [], 0, set()
 
-        def frequent() -> Iterator[pa.RecordBatch]:
-            if not held:
-                return
+        def counted() -> pa.RecordBatch:
             keys, n = np.unique(np.concatenate(held), return_counts=True)
-            keys, n = keys[n > 1], n[n > 1]
-            if len(keys):
-                yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(keys), np.int32)), pa.array(keys.view(np.int64)), pa.array(np.zeros(len(keys), np.int64)), pa.array(n.astype(np.int64)), pa.nulls(len(keys), pa.binary())], names=names)
+            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], names=["shingle", "n"])
 
         for batch in batches:
-            for start, part in blocks(batch.column(1)):
-                sets = shingle_sets(part, rule)
-                cls = [digest(s) for s in sets]
-                for c, s in zip(cls, sets, strict=True):
-                    if c not in seen:
+            for _, part in blocks(batch.column(0)):
+                for s in shingle_sets(part, rule):
+                    if len(s) and (c := digest(s)) not in seen:
                         seen.add(c)
                         held.append(s)
                         size += len(s)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.zeros(len(part), np.int32)), batch.column(0).slice(start, len(part)).cast(pa.int64()), pa.array(cls, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([sketch(s) for s in sets], pa.binary())],
-                    names=names,
-                )
-                if size > 4_000_000:
-                    yield from frequent()
+                if size > 2_000_000:
+                    yield counted()
                     held, size = [], 0
                     seen.clear()
-        yield from frequent()
+        if held:
+            yield counted()
 
-    return docs.select("doc_id", "text").mapInArrow(run, "kind int, id long, cls long, n long, sketch binary")
+    # Counts within a task are summed already, so the rows are dealt out first.
+    found = docs.select("text").mapInArrow(run, "shingle long, n long")
+    return found.repartition("shingle").groupBy("shingle").agg(F.sum("n").alias("n"))
 
 
 @dataclass
@@ -217,17 +244,34 @@ def boundary(rule: Rule, met: float) -> int:
     return small
 
 
-def heavy_order(described: DataFrame, rule: Rule) -> Order:
-    """The heavy shingles of the corpus (MAX_HEAVY at most, the most frequent) and the boundary."""
-    found = (
-        described.where("kind = 1").groupBy("id").agg(F.sum("n").alias("n")).where(F.col("n") >= HEAVY)
-        .orderBy(F.desc("n"), "id").limit(MAX_HEAVY).toPandas()
-    )
-    total = described.where("kind = 0").agg(F.coalesce(F.sum("n"), F.lit(0))).collect()[0][0]
-    keys, count = found["id"].to_numpy(np.int64).view(np.uint64), found["n"].to_numpy(np.int64)
+def met_in_lists(singles: float, repeated: list[tuple[float, float]], rule: Rule) -> float:
+    """How many other sets a list of a prefix holds on average.
+
+    A prefix takes the rarest shingles, a share of 1 - t: ``singles`` that stand
+    once come first, then the ``repeated`` (number of shingles, standings) by frequency.
+    """
+    total = singles + sum(standings for _, standings in repeated)
+    room = taken = max(total * (100 - rule.percent) / 100, 1.0)
+    room, met = room - min(room, singles), 0.0
+    for shingles, standings in sorted(repeated, key=lambda x: x[1] / x[0]):
+        part = min(room, standings)
+        met += part * (standings / shingles - 1)
+        room -= part
+    return met / taken
+
+
+def heavy_order(docs: DataFrame, described: DataFrame, rule: Rule) -> Order:
+    """The heavy shingles of the corpus (the MAX_HEAVY most frequent) and the boundary that its list lengths give."""
+    counted = stored(count_shingles(docs, rule).where("n > 1"), "frequencies")
+    found = counted.where(F.col("n") >= HEAVY).orderBy(F.desc("n"), "shingle").limit(MAX_HEAVY).toPandas()
+    # A row for each power of two.
+    repeated = [(r["shingles"], r["standings"]) for r in counted.groupBy(F.floor(F.log2("n"))).agg(F.count("*").alias("shingles"), F.sum("n").alias("standings")).collect()]
+    total = described.agg(F.coalesce(F.sum("n"), F.lit(0))).collect()[0][0]
+    discard(counted)
+    keys, count = found["shingle"].to_numpy(np.int64).view(np.uint64), found["n"].to_numpy(np.int64)
     by = np.argsort(keys)
-    met = float((count.astype(float) ** 2).sum() / max(total, 1))
-    return Order(keys[by], count[by], boundary(rule, min(met, 1.0)))
+    singles = max(0, total - sum(standings for _, standings in repeated))
+    return Order(keys[by], count[by], boundary(rule, met_in_lists(singles, repeated, rule)))
 
 
 def keys_of(s: np.ndarray, order: Order, rule: Rule) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -279,7 +323,7 @@ def listed(docs: DataFrame, order: Order, rule: Rule) -> DataFrame:
 
 
 def stars(lists: DataFrame, rule: Rule) -> DataFrame:
-    """What the lists say, read as a sorted stream:
+    """What the lists say, read as a sorted stream. The leader is the set with the fewest shingles before the key's:
 
     kind 0 (a = leader, b = member, n = keys in common) of pairs that may link;
     kind 1 (key, a = class, b = place, n = size) of lists of three classes or more, and of salted ones;
@@ -335,7 +379,7 @@ def stars(lists: DataFrame, rule: Rule) -> DataFrame:
         if held is not None:
             yield from read(*held, cut)
 
-    dealt = lists.repartition("key", "salt").sortWithinPartitions("key", "salt", "cls")
+    dealt = lists.repartition("key", "salt").sortWithinPartitions("key", "salt", "place", "cls")
     return dealt.mapInArrow(run, "kind int, key long, a long, b long, n long")
 
 
@@ -353,12 +397,25 @@ def plausible(pairs: DataFrame, named: DataFrame, rule: Rule) -> DataFrame:
     return both.select("a", "b", "n", "size_a", "size_b", "sketch_a", "sketch_b").mapInArrow(run, "a long, b long, n long")
 
 
-def verify(pairs: DataFrame, named: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
-    """The pairs (a, b) of classes that link. ``named`` has a doc_id of each class."""
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-    texts = stored(
-        docs.select("doc_id", "text").join(needed.join(named, "cls").select("cls", "doc_id"), "doc_id").select("cls", "text"), "texts"
-    )
+def texts_of(classes: DataFrame, named: DataFrame, docs: DataFrame) -> DataFrame:
+    """(cls, text): one text of each class of ``classes`` (cls)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            new = []
+            for h in batch.column(0).to_pylist():
+                new.append(h not in seen)
+                seen.add(h)
+            yield batch.filter(pa.array(new, pa.bool_()))
+
+    # Copies go where they are read, so that no text is shuffled more than once a task.
+    first = docs.select(F.xxhash64("text").alias("said"), "text").mapInArrow(run, "said long, text string")
+    return first.join(classes.join(named.select("cls", "said"), "cls"), "said").dropDuplicates(["said"]).select("cls", "text")
+
+
+def verify(pairs: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
+    """The pairs (a, b) of classes that link."""
     both = pairs.join(texts.toDF("a", "left"), "a").join(texts.toDF("b", "right"), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -368,10 +425,8 @@ def verify(pairs: DataFrame, named: DataFrame, docs: DataFrame, rule: Rule) -> D
             for (start, left), (_, right) in zip(_in_step(batch.column(2)), _in_step(batch.column(3)), strict=True):
                 x, y = shingle_sets(left, rule), shingle_sets(right, rule)
                 for i, (s, t) in enumerate(zip(x, y, strict=True)):
-                    # A document of several rows may have brought another text.
-                    if digest(s) == a[start + i] and digest(t) == b[start + i]:
-                        shared = len(np.intersect1d(s, t, assume_unique=True))
-                        links[start + i] = 100 * shared >= rule.percent * (len(s) + len(t) - shared)
+                    shared = len(np.intersect1d(s, t, assume_unique=True))
+                    links[start + i] = 100 * shared >= rule.percent * (len(s) + len(t) - shared)
             yield pa.RecordBatch.from_arrays([pa.array(a[links]), pa.array(b[links])], names=["a", "b"])
 
     return both.select("a", "b", "left", "right").mapInArrow(run, "a long, b long").distinct()
@@ -382,41 +437,167 @@ def _in_step(column: pa.Array, rows: int = 64) -> Iterator[tuple[int, list[bytes
         yield at, [t or b"" for t in column.slice(at, rows).cast(pa.large_binary()).to_pylist()]
 
 
+class Sketches:
+    """Sketches of rows as matrices of words, a matrix for each length; longer ones fold to shorter ones."""
+
+    def __init__(self, sketches: list[bytes]):
+        size = np.fromiter(map(len, sketches), np.int64, len(sketches)) // 8
+        self.size, self.at, self.of = size, np.zeros(len(size), np.int64), {}
+        for words in np.unique(size).tolist():
+            rows = np.flatnonzero(size == words)
+            self.at[rows] = np.arange(len(rows))
+            self.of[words, words] = np.frombuffer(b"".join([sketches[i] for i in rows.tolist()]), np.uint64).reshape(-1, words)
+
+    def folded(self, words: int, to: int) -> np.ndarray:
+        if (words, to) not in self.of:
+            wide = self.folded(words, 2 * to)
+            self.of[words, to] = wide[:, :to] ^ wide[:, to:]
+        return self.of[words, to]
+
+    def differences(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Lower bounds on the number of elements in which the sets of rows x and y differ."""
+        out = np.zeros(len(x), np.int64)
+        kinds = self.size[x] << 20 | self.size[y]
+        for kind in np.unique(kinds).tolist():
+            p, q = kind >> 20, kind & 0xFFFFF
+            to = min(p, q)
+            left, right = self.folded(p, to), self.folded(q, to)
+            rows = np.flatnonzero(kinds == kind)
+            step = max(1, 4_000_000 // to)
+            for s in range(0, len(rows), step):
+                r = rows[s : s + step]
+                out[r] = np.bitwise_count(left[self.at[x[r]]] ^ right[self.at[y[r]]]).sum(1, dtype=np.int64)
+        return out
+
+
+def closest(cell: np.ndarray, at: np.ndarray, cls: np.ndarray, x: np.ndarray, y: np.ndarray, far: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, bool]:
+    """The ``budget`` closest pairs of every two components in a cell, and whether others were held back."""
+    turned = at[x] > at[y]
+    x, y = np.where(turned, y, x), np.where(turned, x, y)
+    by = np.lexsort((cls[y], cls[x], far, at[y], at[x], cell[x]))
+    x, y, far = x[by], y[by], far[by]
+    new = np.concatenate([[True], (cell[x][1:] != cell[x][:-1]) | (at[x][1:] != at[x][:-1]) | (at[y][1:] != at[y][:-1])]) if len(x) else np.zeros(0, bool)
+    start = np.flatnonzero(new)
+    rank = np.arange(len(x)) - np.repeat(start, np.diff(np.append(start, len(x))))
+    keep = rank < budget
+    return x[keep], y[keep], far[keep], not keep.all()
+
+
+def meet(members: DataFrame, named: DataFrame, rule: Rule, budget: int) -> DataFrame:
+    """(kind, a, b): kind 0, pairs of classes in different components that a key brings together and that may link, ``budget`` of every two components and cell; kind 1, a cell that held back others.
+
+    ``members`` (key, cls, n, place, at) of keys with several components. Keys of more
+    than CELL sets are cut into blocks, and every two blocks meet in a cell.
+    """
+    counts = members.groupBy("key").agg(F.count("*").alias("count"))
+    cut = members.join(counts, "key").withColumn("cuts", F.ceil(F.col("count") / CELL).cast("int"))
+    own = F.pmod(F.xxhash64("cls"), F.col("cuts")).cast("int")
+    cut = cut.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
+    cells = cut.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "cls", "n", "place", "at")
+    cells = cells.join(named.select("cls", "sketch"), "cls").select("key", "i", "j", "side", "cls", "n", "place", "at", "sketch")
+
+    def compared(cols: list[np.ndarray], sketches: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+        """Of whole cells, sorted by cell and side: the classes of the pairs, and whether some were held back."""
+        key, i, j, side, cls, n, place, at = cols
+        rows = np.arange(len(key))
+        edge = np.concatenate([[True], (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
+        cell = np.cumsum(edge) - 1
+        stop = np.append(np.flatnonzero(edge)[1:], len(key))[cell]
+        # A block meets itself, each row those after it; or side 0 meets side 1.
+        first = np.bincount(cell, weights=side == 0).astype(np.int64)[cell] + np.flatnonzero(edge)[cell]
+        low = np.where(i == j, rows + 1, first)
+        count = np.where((i == j) | (side == 0), stop - low, 0)
+        said, held = Sketches(sketches), [np.zeros(0, np.int64)] * 3
+        back, turn = False, np.cumsum(count) // PAIRS
+        for t in np.unique(turn).tolist():
+            own = np.flatnonzero(turn == t)
+            x = np.repeat(own, count[own])
+            y = np.arange(len(x)) - np.repeat(np.cumsum(count[own]) - count[own], count[own]) + np.repeat(low[own], count[own])
+            fits = (at[x] != at[y]) & rule.may_link(n[x], place[x], n[y], place[y])
+            x, y = x[fits], y[fits]
+            far = said.differences(x, y)
+            near = far <= n[x] + n[y] - 2 * -(-rule.percent * (n[x] + n[y]) // (100 + rule.percent))
+            held = [np.concatenate(z) for z in zip(held, (x[near], y[near], far[near]), strict=True)]
+            if len(held[0]) > PAIRS:
+                *held, over = closest(cell, at, cls, *held, budget)
+                back |= over
+                if len(held[0]) > PAIRS:  # all of them leave
+                    yield cls[held[0]], cls[held[1]], False
+                    held = [np.zeros(0, np.int64)] * 3
+        x, y, _, over = closest(cell, at, cls, *held, budget)
+        yield cls[x], cls[y], back or over
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows(cols: list[np.ndarray], sketches: list[bytes]) -> Iterator[pa.RecordBatch]:
+            for a, b, back in compared(cols, sketches):
+                pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
+                kind = np.append(np.zeros(len(pairs), np.int32), np.ones(int(back), np.int32))
+                pairs = np.concatenate([pairs, np.zeros((int(back), 2), np.int64)])
+                yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["kind", "a", "b"])
+
+        held, sketches = None, []
+        for batch in batches:
+            new = [batch.column(c).to_numpy().astype(np.int64) for c in range(8)]
+            held = new if held is None else [np.concatenate(x) for x in zip(held, new, strict=True)]
+            sketches += batch.column(8).to_pylist()
+            if len(sketches) < READ:
+                continue
+            whole = np.flatnonzero((held[0] != held[0][-1]) | (held[1] != held[1][-1]) | (held[2] != held[2][-1]))
+            done = whole[-1] + 1 if len(whole) else 0
+            if done:
+                yield from rows([x[:done] for x in held], sketches[:done])
+                held, sketches = [x[done:] for x in held], sketches[done:]
+        if sketches:
+            yield from rows(held, sketches)
+
+    dealt = cells.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "side", "cls")
+    return dealt.mapInArrow(run, "kind int, a long, b long")
+
+
 def link_classes(docs: DataFrame, rule: Rule, described: DataFrame) -> DataFrame:
     """(node, component) of all classes that link with another."""
-    order = heavy_order(described, rule)
+    order = heavy_order(docs, described, rule)
     said = stored(stars(listed(docs, order, rule), rule), "lists")
-    named = described.where("kind = 0 AND n > 0").groupBy("cls").agg(F.min("id").alias("doc_id"), F.first("n").alias("size"), F.first("sketch").alias("sketch"))
+    named = described.where("n > 0").groupBy("cls").agg(F.min("said").alias("said"), F.first("n").alias("size"), F.first("sketch").alias("sketch"))
     near = said.where("kind = 0").groupBy("a", "b").agg(F.sum("n").alias("n"))
     # Leaders of one salted list meet in the least of them.
     salted = said.where("kind = 2").select("key", "a", "n").distinct()
     least = salted.groupBy("key").agg(F.min("a").alias("lead"))
-    meet = salted.join(least, "key").where("a > lead").select(F.col("lead").alias("a"), F.col("a").alias("b")).distinct()
-    near = near.union(meet.select("a", "b", F.lit(1 << 40).alias("n"))).groupBy("a", "b").agg(F.max("n").alias("n"))
+    together = salted.join(least, "key").where("a > lead").select(F.col("lead").alias("a"), F.col("a").alias("b")).distinct()
+    near = near.union(together.select("a", "b", F.lit(1 << 40).alias("n"))).groupBy("a", "b").agg(F.max("n").alias("n"))
     near = stored(plausible(near, named, rule), "near")
+    member = stored(said.where("kind = 1").select("key", F.col("a").alias("cls"), F.col("b").cast("int").alias("place"), F.col("n").cast("int").alias("n")).distinct(), "members")
+    classes = near.select(F.explode(F.array("a", "b")).alias("cls")).union(member.select("cls")).distinct()
+    texts = stored(texts_of(classes, named, docs), "texts")
 
-    # First each class with the leader it shares most keys with.
+    # First each class with the leader it shares most keys with, then its other leaders in other components ...
     best = stored(near.groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a")).select("a", "b"), "best")
-    links = stored(verify(best, named, docs, rule), "links")
-    parts = connected(links)
-
-    # Then what still lies apart: first one partner in another component for each key, other leaders too ...
+    parts = connected(verify(best, texts, rule))
     tried = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    member = stored(said.where("kind = 1").select("key", F.col("a").alias("cls"), F.col("b").cast("int").alias("place"), F.col("n").cast("int").alias("n")).distinct(), "members")
     others = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    apart = lists_apart(member, parts)
-    ends = apart.groupBy("key").agg(*[f(F.struct("at", "cls", "n", "place")).alias(x) for f, x in ((F.min, "lo"), (F.max, "hi"))])
-    met = apart.join(ends, "key").withColumn("y", F.when(F.col("at") != F.col("lo.at"), F.col("lo")).otherwise(F.col("hi")))
-    met = met.where((F.col("at") != F.col("y.at")) & may_link_columns(rule, "", "y."))
-    partners = met.select(F.least("cls", "y.cls").alias("a"), F.greatest("cls", "y.cls").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    links, tried, parts = link_more(across(others, parts).union(partners).distinct(), links, tried, named, docs, rule)
-
-    # ... then all pairs between components.
-    rest = stored(lists_apart(member, parts), "apart")
-    x, y = rest.alias("x"), rest.alias("y")
-    fits = (F.col("x.key") == F.col("y.key")) & (F.col("x.cls") < F.col("y.cls")) & (F.col("x.at") != F.col("y.at")) & may_link_columns(rule, "x.", "y.")
-    crossing = x.join(y, fits).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    return link_more(crossing, links, tried, named, docs, rule)[2]
+    others = stored(across(others, parts), "others")
+    parts, tried = join_parts(parts, verify(others, texts, rule)), tried.union(others)
+
+    # ... then whatever a key holds in different components.
+    late = []
+    for budget in ROUNDS:
+        apart = stored(lists_apart(member, parts), "apart")
+        found = stored(meet(apart, named, rule, budget), "met")
+        back = found.where("kind = 1").limit(1).count() > 0
+        late += [found, stored(found.where("kind = 0").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "late")]
+        parts, tried = join_parts(parts, verify(late[-1], texts, rule)), tried.union(late[-1])
+        discard(apart)
+        if not back:
+            break
+    discard(said, near, member, texts, best, others, *late)
+    return parts
+
+
+def join_parts(parts: DataFrame, links: DataFrame) -> DataFrame:
+    """The components with further links."""
+    out = connected(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).union(links.select("a", "b")))
+    discard(parts)
+    return out
 
 
 def placed(df: DataFrame, parts: DataFrame, col: str, name: str) -> DataFrame:
@@ -433,28 +614,14 @@ def lists_apart(member: DataFrame, parts: DataFrame) -> DataFrame:
     """The members (key, cls, n, place, at) of keys that hold more than one component."""
     now = placed(member, parts, "cls", "at")
     apart = now.groupBy("key").agg(F.min("at").alias("lo"), F.max("at").alias("hi")).where("lo < hi").select("key")
-    return now.join(apart, "key", "left_semi")
-
-
-def may_link_columns(rule: Rule, x: str, y: str) -> Column:
-    """``Rule.may_link`` over columns n and place with the given prefixes."""
-    n, at, m, to = (F.col(p + c) for p in (x, y) for c in ("n", "place"))
-    need = F.ceil(rule.percent * (n + m) / (100.0 + rule.percent))
-    return (at <= n - need) & (to <= m - need)
-
-
-def link_more(pairs: DataFrame, links: DataFrame, tried: DataFrame, named: DataFrame, docs: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Examines pairs: the links and tried pairs with them, and the components that follow."""
-    late = stored(plausible(pairs.withColumn("n", F.lit(0).cast("long")), named, rule).select("a", "b"), "late")
-    links = stored(links.union(verify(late, named, docs, rule)), "links")
-    return links, tried.union(late), connected(links)
+    return now.join(apart, "key", "left_semi").select("key", "cls", "n", "place", "at")
 
 
 def components(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     """doc_id, n_shingles and component_id of every row."""
     described = stored(describe(docs, rule), "sets")
     linked = link_classes(docs, rule, described)
-    rows = described.where("kind = 0").select(F.col("id").alias("doc_id"), "cls", F.col("n").alias("n_shingles"))
+    rows = described.select(F.col("id").alias("doc_id"), "cls", F.col("n").alias("n_shingles"))
     named = rows.where("n_shingles > 0").groupBy("cls").agg(F.min("doc_id").alias("first"))
     placed = named.join(linked.toDF("cls", "component"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     first = placed.groupBy("component").agg(F.min("first").alias("component_id"))
@@ -467,13 +634,19 @@ def components(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
-    """The documents, one (the smallest doc_id) of each component; one row of each doc_id."""
-    keep = stored(components(docs, rule).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct(), "keep")
-    # One shuffle of the texts serves the join and the choice of one row.
-    named = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    if keep.where("doc_id IS NULL").isEmpty():
-        return named
-    return named.union(docs.where("doc_id IS NULL").limit(1))
+    """The documents, one row of each component: that of the smallest doc_id (rows without one come last); rows without words all stay."""
+    described = stored(describe(docs, rule), "sets")
+    linked = link_classes(docs, rule, described)
+    own = F.struct(F.col("id").isNull().alias("none"), "id", "said", "row")
+    first = described.where("n > 0").groupBy("cls").agg(F.min(own).alias("own"))
+    of_class = first.join(linked.toDF("cls", "component"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    keep = stored(of_class.groupBy("component").agg(F.min("own").alias("own")).select(F.col("own.said").alias("__said"), F.col("own.row").alias("__row")), "keep")
+    discard(described, linked)
+    wordless = ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    # One shuffle of the texts serves the join and the choice of one of equal rows.
+    hashed = docs.withColumn("__said", F.xxhash64("text")).withColumn("__row", row_hash(docs))
+    chosen = hashed.where(~wordless).join(keep, ["__row", "__said"], "left_semi").dropDuplicates(["__row", "__said"])
+    return chosen.select(docs.columns).union(docs.where(wordless))
 
 
 ORACLE_SQL = r"""

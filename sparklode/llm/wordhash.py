@@ -80,13 +80,14 @@ class Batch:
 def blocks(column: pa.Array, limit: int = BLOCK) -> Iterator[tuple[int, list[bytes]]]:
     """Runs of a text column (null as empty) as UTF-8, about ``limit`` bytes each, with their first row."""
     start, size, part = 0, 0, []
-    for i, t in enumerate(column.cast(pa.large_binary()).to_pylist()):
-        t = t or b""
-        part.append(t)
-        size += len(t)
-        if size >= limit:
-            yield start, part
-            start, size, part = i + 1, 0, []
+    for at in range(0, len(column), 256):  # a batch is never held twice
+        for i, t in enumerate(column.slice(at, 256).cast(pa.large_binary()).to_pylist(), at):
+            t = t or b""
+            part.append(t)
+            size += len(t)
+            if size >= limit:
+                yield start, part
+                start, size, part = i + 1, 0, []
     if part:
         yield start, part
 

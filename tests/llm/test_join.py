@@ -57,7 +57,7 @@ def corpus(seed, docs=160):
     return out
 
 
-@pytest.mark.parametrize(("seed", "changes"), [(1, {}), (2, {"HEAVY": 2}), (3, {"SALT_AT": 2, "HEAVY": 2, "HOLD": 1}), (4, {"LARGEST_SMALL": 0}), (5, {"VERIFY": 1e6, "HEAVY": 2})])
+@pytest.mark.parametrize(("seed", "changes"), [(1, {}), (2, {"HEAVY": 2}), (3, {"SALT_AT": 2, "HEAVY": 2, "HOLD": 1}), (4, {"LARGEST_SMALL": 0}), (5, {"VERIFY": 1e6, "HEAVY": 2}), (6, {"CELL": 3, "READ": 5, "PAIRS": 7, "HEAVY": 2}), (7, {"ROUNDS": (1, 2, 1 << 62), "MAX_PLACES": 64, "LARGEST_SMALL": 0})])
 def test_components_equal_brute_force(spark, monkeypatch, seed, changes):
     for name, value in changes.items():
         monkeypatch.setattr(ngram_join, name, value)
@@ -66,6 +66,36 @@ def test_components_equal_brute_force(spark, monkeypatch, seed, changes):
     assert sorted(map(tuple, found)) == brute(rows)
 
 
+def test_crowds_that_fall_apart(spark, monkeypatch):
+    """Variants of one text whose changes add up: many sets under the same keys, few of which link."""
+    monkeypatch.setattr(ngram_join, "CELL", 16)
+    rnd = random.Random(4)
+    base = [f"b{i}" for i in range(60)]
+    rows = []
+    for i in range(90):
+        own = list(base)
+        for _ in range(rnd.choice([1, 1, 2, 3])):
+            own[rnd.randrange(60)] = f"x{rnd.randrange(400)}"
+        rows.append((i, " ".join(own)))
+    found = ngram_join.components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    wanted = brute(rows)
+    assert sorted(map(tuple, found)) == wanted and 5 < len({c for _, _, c in wanted}) < 80
+
+
+def test_rows_without_an_id_link_and_rows_of_one_id_are_told_apart(spark):
+    words = [f"w{i}" for i in range(40)]
+    near = lambda *at: " ".join("zz" if i in at else w for i, w in enumerate(words))
+    other, third = (" ".join(f"{c}{i}" for i in range(20)) for c in "yz")
+    rows = [(1, near(0, 1)), (None, near()), (3, near(38, 39)), (None, other), (None, "one two three"), (7, third), (7, third + " a b c"), (7, other + " tail"), (8, None), (8, ""), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join.components(docs).collect()}
+    assert {(1, 36, 1), (None, 36, 1), (3, 36, 1), (None, 1, None), (None, 16, 7), (7, 17, 7), (7, 16, 7), (7, 19, 7), (8, 0, 8), (None, 0, None)} == found
+    for _ in range(2):
+        kept = sorted(((r["doc_id"], r["text"]) for r in ngram_join.one_of_each(docs.repartition(5)).collect()), key=repr)
+        assert (1, near(0, 1)) in kept and (None, "one two three") in kept and (7, other + " tail") in kept
+        assert len(kept) == 7 and sum(t in (third, third + " a b c") for _, t in kept) == 1
+
+
 def test_overlap_rule_is_exact():
     rule = Rule()
     for a in range(1, 40):
@@ -78,6 +108,20 @@ def test_boundary_follows_the_costs():
     assert ngram_join.boundary(Rule(), 0.0) < ngram_join.boundary(Rule(), 10.0) <= ngram_join.LARGEST_SMALL
 
 
+def test_every_repeated_shingle_is_counted(spark):
+    rows = [(i, f"a{i} b{i} c{i} the very same five words d{i}") for i in range(40)] + [(i, f"a{i} b{i} c{i} the very same five words d{i}") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(40, "doc_id")  # one of each kind a task
+    counted = sorted(r["n"] for r in ngram_join.count_shingles(docs, Rule()).collect())
+    assert counted[-1] == 40 and set(counted[:-1]) == {1}
+
+
+def test_lists_of_prefixes():
+    rule = Rule()
+    assert ngram_join.met_in_lists(100.0, [], rule) == 0
+    assert ngram_join.met_in_lists(0.0, [(50.0, 100.0)], rule) == pytest.approx(1)
+    assert 0 < ngram_join.met_in_lists(20.0, [(10.0, 80.0)], rule) < 7
+
+
 def test_sketches_never_overstate():
     import numpy as np
 
@@ -86,6 +130,8 @@ def test_sketches_never_overstate():
         every = rng.integers(0, 1 << 63, n + m, np.uint64)
         a, b = every[:n], np.concatenate([every[:shared], every[n : n + m - shared]])
         assert ngram_join.least_difference(ngram_join.sketch(a), ngram_join.sketch(b)) <= n + m - 2 * shared
+        both = ngram_join.Sketches([ngram_join.sketch(a), ngram_join.sketch(b)])
+        assert both.differences(np.array([0, 1]), np.array([1, 0])).tolist() == [ngram_join.least_difference(ngram_join.sketch(a), ngram_join.sketch(b))] * 2
 
 
 def test_connected(spark):
