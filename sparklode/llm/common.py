@@ -49,23 +49,39 @@ def shared_dir(spark: SparkSession) -> str:
     return base or _own[0]
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once to the shared folder and read back.
-
-    Cuts the lineage: what is read again survives lost executors, and steps
-    that must agree with each other read the same rows.
-    """
-    spark = df.sparkSession
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder; what is written there goes when the process ends."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     if not _stored:
         atexit.register(lambda: spark.sparkContext._jsc and _clear(spark))
     _stored.append(path)
-    df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def append_stored(df: DataFrame, path: str) -> None:
+    """Add the rows of ``df`` to the table at ``path``."""
+    df.write.option("compression", "zstd").mode("append").parquet(path)
+
+
+def read_stored(spark: SparkSession, path: str, schema) -> DataFrame:
+    out = spark.read.schema(schema).parquet(path)
     out.stored_at = [path]
     return out
 
 
+def stored(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """``df`` written once to the shared folder, in a folder for each value of ``by``, and read back.
+
+    Cuts the lineage: what is read again survives lost executors, and steps
+    that must agree with each other read the same rows.
+    """
+    spark = df.sparkSession
+    path = shared_path(spark, name)
+    out = df.write.option("compression", "zstd")
+    (out.partitionBy(by) if by else out).parquet(path)
+    return read_stored(spark, path, df.schema)
+
+
 def discard(*frames: DataFrame) -> None:
     """Delete stored tables that nothing will read again."""
     for df in frames:
@@ -102,6 +118,16 @@ def held_out(modulus: int, remainder: int, col: str = "doc_id") -> Column:
     return (F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary")) % modulus) == remainder
 
 
+def least_hashes(rows: DataFrame, col: str, n: int, total: Column) -> DataFrame:
+    """The rows among which the ``n`` with the smallest hash of ``col`` are, of ``total`` rows.
+
+    A threshold leaves somewhat more than ``n`` rows, so that none but these are
+    sorted or sent; hashes that are no even draw can leave fewer.
+    """
+    share = F.least(F.lit(1.0), F.lit(n + 10 * n**0.5 + 30) / F.greatest(total, F.lit(1.0)))
+    return rows.where(F.xxhash64(col) / F.lit(2.0**64) + F.lit(0.5) <= share)
+
+
 def kept_rows(docs: DataFrame, judge: Callable[[], Callable[[list[bytes]], np.ndarray]]) -> DataFrame:
     """The rows of ``docs``, all columns, whose text (null as empty) is judged true.
 

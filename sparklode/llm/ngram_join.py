@@ -55,7 +55,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, stored
-from .components import connected
+from .components import connected, joined
 from .wordhash import SPACES, Batch, blocks, mix
 
 #: Texts with a shingle from which on it is heavy, and the number of heavy ones kept in order.
@@ -73,7 +73,7 @@ MAX_PLACES = 1 << 14
 #: Sets that meet at once in a key that holds several components.
 CELL = 4096
 #: Pairs of two components that leave a cell, by round; the last one holds back none.
-ROUNDS = (1, 16, 256, 1 << 62)
+ROUNDS = (1, 32, 1 << 62)
 #: Rows read before their cells are worked off, and pairs compared at once.
 READ, PAIRS = 20_000, 500_000
 
@@ -486,11 +486,10 @@ def closest(cell: np.ndarray, at: np.ndarray, cls: np.ndarray, x: np.ndarray, y:
 def meet(members: DataFrame, named: DataFrame, rule: Rule, budget: int) -> DataFrame:
     """(kind, a, b): kind 0, pairs of classes in different components that a key brings together and that may link, ``budget`` of every two components and cell; kind 1, a cell that held back others.
 
-    ``members`` (key, cls, n, place, at) of keys with several components. Keys of more
-    than CELL sets are cut into blocks, and every two blocks meet in a cell.
+    ``members`` (key, cls, n, place, at, count) of keys with several components. Keys of
+    more than CELL sets are cut into blocks, and every two blocks meet in a cell.
     """
-    counts = members.groupBy("key").agg(F.count("*").alias("count"))
-    cut = members.join(counts, "key").withColumn("cuts", F.ceil(F.col("count") / CELL).cast("int"))
+    cut = members.withColumn("cuts", F.ceil(F.col("count") / CELL).cast("int"))
     own = F.pmod(F.xxhash64("cls"), F.col("cuts")).cast("int")
     cut = cut.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
     cells = cut.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "cls", "n", "place", "at")
@@ -559,6 +558,7 @@ def link_classes(docs: DataFrame, rule: Rule, described: DataFrame) -> DataFrame
     order = heavy_order(docs, described, rule)
     said = stored(stars(listed(docs, order, rule), rule), "lists")
     named = described.where("n > 0").groupBy("cls").agg(F.min("said").alias("said"), F.first("n").alias("size"), F.first("sketch").alias("sketch"))
+    named = stored(named, "classes")
     near = said.where("kind = 0").groupBy("a", "b").agg(F.sum("n").alias("n"))
     # Leaders of one salted list meet in the least of them.
     salted = said.where("kind = 2").select("key", "a", "n").distinct()
@@ -567,6 +567,7 @@ def link_classes(docs: DataFrame, rule: Rule, described: DataFrame) -> DataFrame
     near = near.union(together.select("a", "b", F.lit(1 << 40).alias("n"))).groupBy("a", "b").agg(F.max("n").alias("n"))
     near = stored(plausible(near, named, rule), "near")
     member = stored(said.where("kind = 1").select("key", F.col("a").alias("cls"), F.col("b").cast("int").alias("place"), F.col("n").cast("int").alias("n")).distinct(), "members")
+    discard(said)
     classes = near.select(F.explode(F.array("a", "b")).alias("cls")).union(member.select("cls")).distinct()
     texts = stored(texts_of(classes, named, docs), "texts")
 
@@ -576,30 +577,25 @@ def link_classes(docs: DataFrame, rule: Rule, described: DataFrame) -> DataFrame
     tried = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     others = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
     others = stored(across(others, parts), "others")
-    parts, tried = join_parts(parts, verify(others, texts, rule)), tried.union(others)
+    if not others.isEmpty():
+        parts, tried = joined(parts, verify(others, texts, rule)), tried.union(others)
 
     # ... then whatever a key holds in different components.
     late = []
     for budget in ROUNDS:
         apart = stored(lists_apart(member, parts), "apart")
         found = stored(meet(apart, named, rule, budget), "met")
-        back = found.where("kind = 1").limit(1).count() > 0
-        late += [found, stored(found.where("kind = 0").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "late")]
-        parts, tried = join_parts(parts, verify(late[-1], texts, rule)), tried.union(late[-1])
+        new = stored(found.where("kind = 0").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "late")
+        if not new.isEmpty():
+            parts, tried = joined(parts, verify(new, texts, rule)), tried.union(new)
+        late += [found, new]
         discard(apart)
-        if not back:
+        if found.where("kind = 1").isEmpty():
             break
-    discard(said, near, member, texts, best, others, *late)
+    discard(named, near, member, texts, best, others, *late)
     return parts
 
 
-def join_parts(parts: DataFrame, links: DataFrame) -> DataFrame:
-    """The components with further links."""
-    out = connected(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).union(links.select("a", "b")))
-    discard(parts)
-    return out
-
-
 def placed(df: DataFrame, parts: DataFrame, col: str, name: str) -> DataFrame:
     """Adds the component of a class; a class without links is its own."""
     return df.join(parts.toDF(col, "__at"), col, "left").withColumn(name, F.coalesce("__at", col)).drop("__at")
@@ -611,10 +607,10 @@ def across(pairs: DataFrame, parts: DataFrame) -> DataFrame:
 
 
 def lists_apart(member: DataFrame, parts: DataFrame) -> DataFrame:
-    """The members (key, cls, n, place, at) of keys that hold more than one component."""
+    """The members (key, cls, n, place, at, count) of keys that hold more than one component."""
     now = placed(member, parts, "cls", "at")
-    apart = now.groupBy("key").agg(F.min("at").alias("lo"), F.max("at").alias("hi")).where("lo < hi").select("key")
-    return now.join(apart, "key", "left_semi").select("key", "cls", "n", "place", "at")
+    apart = now.groupBy("key").agg(F.min("at").alias("lo"), F.max("at").alias("hi"), F.count("*").alias("count")).where("lo < hi")
+    return now.join(apart, "key").select("key", "cls", "n", "place", "at", "count")
 
 
 def components(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:

@@ -46,14 +46,25 @@ def _power(name: str, base: np.uint64, n: int) -> np.ndarray:
     return held[:n]
 
 
+def unspaced(data: np.ndarray) -> np.ndarray:
+    """Where characters begin and end that are written without spaces: kana and Han, Thai and Lao."""
+    lead = np.flatnonzero(data >= 0xE0)
+    one, two = data[lead], data[np.minimum(lead + 1, len(data) - 1)]
+    wide = (one == 0xF0) & (two >= 0xA0)
+    some = ((one >= 0xE3) & (one <= 0xE9)) | ((one == 0xE0) & (two >= 0xB8) & (two <= 0xBB)) | wide
+    start = lead[some]
+    return np.concatenate([start, np.minimum(start + 3 + wide[some], len(data) - 1)])
+
+
 class Batch:
     """Some texts as one byte array with a separator after each.
 
     ``first`` and ``count`` are each text's run of tokens; ``starts`` and
-    ``ends`` bound each token in ``data``; ``hashes`` identifies it.
+    ``ends`` bound each token in ``data``; ``hashes`` identifies it. With
+    ``apart`` each character of a script that is written without spaces is a token.
     """
 
-    def __init__(self, texts: list[bytes], kinds: np.ndarray, lower: bool):
+    def __init__(self, texts: list[bytes], kinds: np.ndarray, lower: bool, apart: bool = False):
         self.data = np.frombuffer(b"\0".join(texts) + b"\0", np.uint8)
         if lower:
             self.data = LOWER[self.data]
@@ -61,6 +72,8 @@ class Batch:
         ends = np.cumsum(np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))) - 1
         kind[ends] = 0
         edge = np.flatnonzero(kind[1:] != kind[:-1]) + 1
+        if apart and len(more := unspaced(self.data)):
+            edge = np.union1d(edge, more)
         bounds = np.concatenate([[0], edge, [len(kind)]])
         token = kind[bounds[:-1]] > 0
         self.starts, self.ends = bounds[:-1][token], bounds[1:][token]

@@ -57,7 +57,13 @@ def corpus(seed, docs=160):
     return out
 
 
-@pytest.mark.parametrize(("seed", "changes"), [(1, {}), (2, {"HEAVY": 2}), (3, {"SALT_AT": 2, "HEAVY": 2, "HOLD": 1}), (4, {"LARGEST_SMALL": 0}), (5, {"VERIFY": 1e6, "HEAVY": 2}), (6, {"CELL": 3, "READ": 5, "PAIRS": 7, "HEAVY": 2}), (7, {"ROUNDS": (1, 2, 1 << 62), "MAX_PLACES": 64, "LARGEST_SMALL": 0})])
+@pytest.mark.parametrize(
+    ("seed", "changes"),
+    [
+        (1, {}), (3, {"SALT_AT": 2, "HEAVY": 2, "HOLD": 1}), (4, {"LARGEST_SMALL": 0, "ROUNDS": (1, 2, 1 << 62), "MAX_PLACES": 64}),
+        (6, {"CELL": 3, "READ": 5, "PAIRS": 7, "HEAVY": 2, "VERIFY": 1e6}),
+    ],
+)
 def test_components_equal_brute_force(spark, monkeypatch, seed, changes):
     for name, value in changes.items():
         monkeypatch.setattr(ngram_join, name, value)
@@ -134,6 +140,15 @@ def test_sketches_never_overstate():
         assert both.differences(np.array([0, 1]), np.array([1, 0])).tolist() == [ngram_join.least_difference(ngram_join.sketch(a), ngram_join.sketch(b))] * 2
 
 
+def test_components_grow_by_further_links(spark):
+    edges = lambda *x: spark.createDataFrame(list(x), "a long, b long")
+    parts = components.connected(edges((1, 2), (2, 3), (10, 11), (20, 21)))
+    same = components.joined(parts, edges((1, 3)))
+    assert same is parts
+    found = dict(map(tuple, components.joined(parts, edges((3, 11), (30, 21), (40, 41))).collect()))
+    assert found == {1: 1, 2: 1, 3: 1, 10: 1, 11: 1, 20: 20, 21: 20, 30: 20, 40: 40, 41: 40}
+
+
 def test_connected(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 90), (90, 95)]
     found = dict(map(tuple, components.connected(spark.createDataFrame(chain, "a long, b long")).collect()))
