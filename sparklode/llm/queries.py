@@ -72,5 +72,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op2_ngram_join": ngram_join.ORACLE_SQL,
+    "op8_topk_search": topk_search.ORACLE_SQL,
     "op10_url_filters": url_filters.ORACLE_SQL,
 }
