@@ -1,17 +1,23 @@
 """URL filters: pattern rules indexed by their rarest literal token.
 
 Each rule is a regular expression over host + path, plus the literal tokens
-that every text it matches must hold as whole tokens. A rule is filed under
-the one of its tokens that is rarest in the table at hand; a url fetches the
-rules filed under its own tokens, and only those run their expressions.
+that every text it matches must hold as whole tokens: one set of tokens, or one
+for each branch of its alternations. A branch is filed under the one of its
+tokens that is rarest in the table at hand; a url fetches the rules filed under
+its own tokens, and only those run their expressions. Rules come as a table (or
+a tuple, for a few), which is broadcast up to ``MAX_BROADCAST_RULES`` branches
+and joined beyond.
 
 Everything is DataFrame code: one pass counts the rule tokens, one shuffle
-brings equal urls together, so that each different url is judged once.
-
-Edge cases: a null url, or one without ``://``, has an empty host and path, no
-rule, and the method's verdict ``allow``. Repeated rows and repeated or null
-page ids keep one output row each. Columns beyond ``url`` are passed through;
-input columns named like an output column are replaced by it.
+brings equal urls together, so that each different url is judged once. Rows
+without a host and path, however many, are spread over ``SPREAD`` keys.
+
+Edge cases: a null url, or one without ``://``, has an empty host and path and
+no rule, unless one without tokens matches the empty text; urls of any length
+are read whole; of rules of equal length that fit, the last by name decides.
+Repeated rows and repeated or null page ids keep one output row each. Columns
+beyond ``url`` are passed through; input columns named like an output column are
+replaced by it. Empty tables, of pages or rules, give no rows or no rule.
 """
 
 from __future__ import annotations
@@ -25,19 +31,22 @@ from pyspark.sql import types as T
 
 from .common import ascii_lower
 
-#: Rules are broadcast up to this many; beyond, Spark joins them as it sees fit.
+#: Branches of rules that are broadcast; beyond, Spark joins them as it sees fit.
 MAX_BROADCAST_RULES = 100_000
+#: Keys among which rows without host and path are dealt.
+SPREAD = 64
+BRANCHES = "array<array<string>>"
 
 TOKEN_BREAK = "[^0-9A-Za-z]+"
 
 
 @dataclass(frozen=True)
 class Rule:
-    """``regex`` runs on host + path. ``name`` rules decide by length; the rest are the method's own block patterns."""
+    """``regex`` runs on host + path; ``branches`` are the token sets of which a match holds one. ``name`` rules decide by length; the rest are the method's own block patterns."""
 
     regex: str
     action: str
-    tokens: tuple[str, ...]
+    branches: tuple[tuple[str, ...], ...] = ((),)
     name: str | None = None
 
 
@@ -46,13 +55,7 @@ def host_rule(host: str, path: str, action: str) -> Rule:
     regex = r"^(?:[^/?#]*\.)?" + _quoted(host + path)
     # The last token of a path prefix may go on in the url, so it is no whole token.
     whole = re.split(TOKEN_BREAK, host) + re.split(TOKEN_BREAK, path)[:-1]
-    return Rule(regex, action, tuple(t for t in whole if t), host + path)
-
-
-def host_pattern(literal: str) -> Rule:
-    """Blocks hosts that have a label equal to ``literal``."""
-    regex = r"^(?:[^/?#]*\.)?" + _quoted(literal) + r"\."
-    return Rule(regex, "block", tuple(t for t in re.split(TOKEN_BREAK, literal) if t))
+    return Rule(regex, action, (tuple(t for t in whole if t),), host + path)
 
 
 def _quoted(text: str) -> str:
@@ -66,7 +69,16 @@ NAMED_RULES = (
     host_rule("example.com", "/de/", "block"),
     host_rule("org", "/fr/", "allow"),
 )
-PATTERN_RULES = tuple(host_pattern(x) for x in ("casino-win", "free-bets", "cheap-pills", "ads-track", "adult-x"))
+PATTERN_RULES = (
+    Rule(r"^(?:[^/]*\.)?(?:casino|poker|slots)-(?:win|play|bonus)\.", "block", tuple((a, b) for a in ("casino", "poker", "slots") for b in ("win", "play", "bonus"))),
+    Rule(r"^(?:[^/]*\.)?(?:free|sure)-bets?\.", "block", tuple((a, b) for a in ("free", "sure") for b in ("bet", "bets"))),
+    Rule(r"^(?:[^/]*\.)?cheap-(?:pills|meds)[0-9]*\.", "block", (("cheap",),)),
+    Rule(r"^(?:[^/]*\.)?ads?-track(?:er)?\.", "block", tuple((a, b) for a in ("ad", "ads") for b in ("track", "tracker"))),
+    Rule(r"^(?:[^/]*\.)?adult-[a-z]+\.", "block", (("adult",),)),
+    Rule(r"^[^/]+/(?:[^?]*/)?(?:adserver|banners|popunder)/", "block", (("adserver",), ("banners",), ("popunder",))),
+    Rule(r"^[^/]+/(?:[^?]*/)?(?:login|signin|register|checkout)(?:/|\.php|\.html?)?$", "block", (("login",), ("signin",), ("register",), ("checkout",))),
+    Rule(r"^[^/]+/.*\.(?:exe|apk|dmg|msi)$", "block", (("exe",), ("apk",), ("dmg",), ("msi",))),
+)
 
 
 def url_parts(pages: DataFrame) -> DataFrame:
@@ -83,53 +95,60 @@ def url_parts(pages: DataFrame) -> DataFrame:
 
 
 def rules_table(spark: SparkSession, rules: tuple[Rule, ...]) -> DataFrame:
-    """The rules as a local relation (rule_no, regex, action, name, tokens)."""
+    """A few rules as a local relation (rule_no, regex, action, name, branches)."""
     text = lambda s: F.lit(s).cast("string")
     rows = [
         F.struct(
-            F.lit(i).alias("rule_no"),
+            F.lit(i).cast("long").alias("rule_no"),
             text(r.regex).alias("regex"),
             text(r.action).alias("action"),
             text(r.name).alias("name"),
-            F.array(*[text(t) for t in r.tokens]).cast(T.ArrayType(T.StringType())).alias("tokens"),
+            F.array(*[F.array(*[text(t) for t in branch]).cast(T.ArrayType(T.StringType())) for branch in r.branches]).cast(BRANCHES).alias("branches"),
         )
         for i, r in enumerate(rules)
     ]
-    return spark.range(1).select(F.inline(F.array(*rows)))
+    none = F.array().cast(f"array<struct<rule_no:long,regex:string,action:string,name:string,branches:{BRANCHES}>>")
+    return spark.range(1).select(F.inline(F.array(*rows) if rows else none))
 
 
 def rule_index(urls: DataFrame, rules: DataFrame) -> DataFrame:
-    """Each rule with its token that is rarest among ``urls`` (array column ``tokens``).
+    """(token, rule_no, regex, action, name): each branch of a rule under its token that is rarest among ``urls`` (array column ``tokens``).
 
-    A rule without a token is filed under the empty token, which every url has.
+    A branch without a token, and a rule without a branch, is filed under the
+    empty token, which every url has.
     """
-    wanted = rules.select("rule_no", F.explode_outer("tokens").alias("token")).fillna("", ["token"])
+    branch = rules.select("rule_no", F.posexplode_outer("branches").alias("branch", "tokens"))
+    wanted = branch.select("rule_no", F.coalesce("branch", F.lit(0)).alias("branch"), F.explode_outer("tokens").alias("token")).fillna("", ["token"])
     seen = (
         urls.select(F.explode("tokens").alias("token"))
-        .join(F.broadcast(wanted.select("token").distinct()), "token", "left_semi")
+        .join(wanted.select("token").distinct(), "token", "left_semi")
         .groupBy("token")
         .agg(F.count("*").alias("n"))
     )
     rarest = (
         wanted.join(seen, "token", "left")
-        .groupBy("rule_no")
+        .groupBy("rule_no", "branch")
         .agg(F.min_by("token", F.struct(F.coalesce("n", F.lit(0)), "token")).alias("token"))
     )
-    return rules.drop("tokens").join(rarest, "rule_no")
+    return rarest.select("rule_no", "token").distinct().join(rules.drop("branches"), "rule_no")
+
 
+def judge_urls(pages: DataFrame, rules: DataFrame | tuple[Rule, ...] = NAMED_RULES + PATTERN_RULES) -> DataFrame:
+    """Adds host, path, rule, verdict and n_candidates (expressions run).
 
-def judge_urls(pages: DataFrame, rules: tuple[Rule, ...] = NAMED_RULES + PATTERN_RULES) -> DataFrame:
-    """Adds host, path, rule, verdict and n_candidates (rules whose expression ran)."""
+    ``rules``: a table (rule_no, regex, action, name, branches: array<array<string>>), or rules.
+    """
     spark = pages.sparkSession
-    pages = url_parts(pages.drop("rule", "verdict", "n_candidates"))
+    pages = url_parts(pages.drop("rule", "verdict", "n_candidates", "__salt"))
     urls = (
         pages.select("host", "path")
         .distinct()
         .withColumn("target", F.concat("host", "path"))
         .withColumn("tokens", F.array_distinct(F.concat(F.array(F.lit("")), F.split("target", TOKEN_BREAK))))
     )
-    index = rule_index(urls, rules_table(spark, rules))
-    if len(rules) <= MAX_BROADCAST_RULES:
+    few = isinstance(rules, tuple) or rules.select(F.sum(F.greatest(F.size("branches"), F.lit(1)))).collect()[0][0] or 0
+    index = rule_index(urls, rules_table(spark, rules) if isinstance(rules, tuple) else rules)
+    if few is True or few <= MAX_BROADCAST_RULES:
         index = F.broadcast(index)
     fetched = urls.withColumn("token", F.explode("tokens")).join(index, "token")
     fits = F.expr("target rlike regex")
@@ -140,12 +159,15 @@ def judge_urls(pages: DataFrame, rules: tuple[Rule, ...] = NAMED_RULES + PATTERN
         F.max(fits & F.col("name").isNull() & (F.col("action") == "block")).alias("__blocked"),
         F.count("*").alias("n_candidates"),
     )
+    blank = F.concat("host", "path") == ""
+    judged = judged.withColumn("__salt", F.explode(F.when(blank, F.sequence(F.lit(0), F.lit(SPREAD - 1))).otherwise(F.array(F.lit(0)))))
+    pages = pages.withColumn("__salt", F.when(blank, F.pmod(F.monotonically_increasing_id(), F.lit(SPREAD)).cast("int")).otherwise(0))
     own = F.when(F.coalesce("__blocked", F.lit(False)), "block").otherwise("allow")
     return (
-        pages.join(judged, ["host", "path"], "left")
+        pages.join(judged, ["host", "path", "__salt"], "left")
         .withColumn("verdict", F.coalesce("__named", own))
         .withColumn("n_candidates", F.coalesce("n_candidates", F.lit(0)))
-        .drop("__named", "__blocked")
+        .drop("__named", "__blocked", "__salt")
     )
 
 
@@ -168,6 +190,7 @@ WITH parts AS (
   FROM hp
 )
 SELECT page_id, host, path, rule,
-  coalesce(named, CASE WHEN regexp_matches(host, '(^|\.)(casino-win|free-bets|cheap-pills|ads-track|adult-x)\.') THEN 'block' ELSE 'allow' END) AS verdict
+  coalesce(named, CASE WHEN regexp_matches(host, '(^|\.)((casino|poker|slots)-(win|play|bonus)|(free|sure)-bets?|cheap-(pills|meds)[0-9]*|ads?-track(er)?|adult-[a-z]+)\.')
+    OR regexp_matches(path, '/(adserver|banners|popunder)/|/(login|signin|register|checkout)(/|\.php|\.html?)?$|/.*\.(exe|apk|dmg|msi)$') AND host <> '' THEN 'block' ELSE 'allow' END) AS verdict
 FROM judged
 """

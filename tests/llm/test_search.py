@@ -117,12 +117,12 @@ def brute_search(rows, k):
         for (i, c), length in zip(tok, dl, strict=True):
             s = sum(math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * c[w] * 2.2 / (c[w] + 1.2 * (0.25 + 0.75 * length / mean)) for w in asked if w in c)
             if s > 0:
-                scores.append((-round(s, 8), i))
+                scores.append((-round(s, 6), i))
         out[q] = [(i, -s) for s, i in sorted(scores)[:k]]
     return out
 
 
-@pytest.mark.parametrize("changes", [{}, {"SHARD": 40, "BLOCK": 4, "QUERY_TERMS": 300}])
+@pytest.mark.parametrize("changes", [{}, {"SHARD": 40, "BLOCK": 4, "QUERY_TERMS": 300, "FIRST": 1, "WIDTH": 2}])
 def test_top_k_equals_brute_force(spark, monkeypatch, changes):
     for name, value in changes.items():
         monkeypatch.setattr(topk_search, name, value)
@@ -139,6 +139,36 @@ def test_top_k_equals_brute_force(spark, monkeypatch, changes):
         assert [s for _, s in found[q]] == pytest.approx([s for _, s in x])
 
 
+def test_pivots_skip_blocks():
+    """A shard of which one block can win is not evaluated elsewhere, and gives what evaluating all gives."""
+    rng = np.random.default_rng(2)
+    docs, words = 640, 30
+    tf = rng.poisson(0.15, (words, docs))
+    tf[:, 320:330] += 9
+    word, doc = np.nonzero(tf)
+    row = [np.arange(docs), np.full(docs, 40), np.arange(words).astype(np.uint64), np.append(0, np.cumsum(np.bincount(word, minlength=words))), doc.astype(np.uint16), tf[word, doc].astype(np.uint32)]
+    shard = topk_search.Shard([x.tobytes() for x in row], 40.0)
+    seen, whole = [], topk_search.Shard.evaluate
+    shard.evaluate = lambda entries, *rest: seen.append(set(shard.block[entries].tolist())) or whole(shard, entries, *rest)
+    none = (np.zeros(0), np.zeros(0, np.int64))
+    found = shard.search(np.arange(words), np.linspace(3, 1, words), 5, none)
+    every = whole(shard, np.arange(len(shard.block)), np.repeat(np.linspace(3, 1, words), np.diff(shard.entry)), 5, none)
+    assert (found[0] == every[0]).all() and (found[1] == every[1]).all()
+    assert 5 in set().union(*seen) and len(set().union(*seen)) < shard.blocks
+    assert sum(map(len, seen)) == len(set().union(*seen))
+
+
+def test_top_k_equals_sql(spark):
+    import duckdb
+
+    rows = [(i, t) for i, t in enumerate(["Ünder the Bridge", "the bridge", None, "", "a b c", "the the the"] * 30)]
+    documents = spark.createDataFrame(rows, "doc_id long, text string").toPandas()  # noqa: F841
+    wanted = duckdb.sql(topk_search.ORACLE_SQL).df().sort_values(["query_id", "rank"]).to_numpy().tolist()
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = topk_search.search(docs, docs.where("doc_id % 50 = 0"), 10).orderBy("query_id", "rank").collect()
+    assert [list(map(float, r)) for r in found] == wanted
+
+
 def test_searching_odd_tables(crowded, none):
     found = topk_search.search(crowded, crowded.where("doc_id IN (0, 1, 9)"), 3)
     assert [(r["query_id"], r["doc_id"]) for r in found.orderBy("query_id", "rank").collect()] == [(0, 0), (0, 4), (0, 5), (9, 9), (9, 9)]
@@ -190,7 +220,43 @@ def test_url_rules(spark):
 
 def test_rules_fetch_by_their_rarest_token(spark):
     pages = spark.createDataFrame([(i, f"http://common.org/{i}") for i in range(50)] + [(99, "http://rare.common.org/")], "page_id long, url string")
-    rules = (url_filters.host_rule("rare.common.org", "/", "block"), url_filters.Rule("9/$", "block", ()))
+    rules = (url_filters.host_rule("rare.common.org", "/", "block"), url_filters.Rule("9/$", "block"))
     found = {r["page_id"]: r for r in url_filters.judge_urls(pages, rules).collect()}
     assert found[99]["rule"] == "rare.common.org/" and found[99]["n_candidates"] == 2
     assert found[1]["n_candidates"] == 1 and found[1]["verdict"] == "allow"
+
+
+@pytest.mark.parametrize("most", [url_filters.MAX_BROADCAST_RULES, 10])
+def test_a_table_of_rules_equals_running_all(spark, monkeypatch, most):
+    monkeypatch.setattr(url_filters, "MAX_BROADCAST_RULES", most)
+    rnd = random.Random(6)
+    words = ["".join(rnd.choice("abcdef") for _ in range(4)) for _ in range(150)]
+    rules = []
+    for i in range(300):
+        a, b, c = rnd.sample(words, 3)
+        regex, branches = rnd.choice([
+            (rf"^(?:[^/]*\.)?{a}-{b}\.", [[a, b]]), (rf"/(?:{a}|{b})/", [[a], [b]]), (rf"{a}\.(?:{b}|{c})$", [[a, b], [a, c]]), (rf"^{a}\.[^/]*/.*{b}[0-9]*$", [[a]]),
+        ])
+        rules.append((i, regex, rnd.choice(["block", "allow"]), None, branches))
+    urls = [f"https://{'.'.join(rnd.choice(words) + rnd.choice(['', '-' + rnd.choice(words)]) for _ in range(2))}.org/{'/'.join(rnd.choice(words) for _ in range(3))}{rnd.choice(['', '/', '.' + rnd.choice(words), '7'])}" for _ in range(300)]
+    urls += [None, "", "x", "http://a.net/" + "long/" * 20_000 + "adserver/x"] + urls[:5]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    table = spark.createDataFrame(rules, "rule_no long, regex string, action string, name string, branches array<array<string>>")
+    found = {r["page_id"]: r for r in url_filters.judge_urls(pages, table).collect()}
+    assert len(found) == len(urls)
+    for i, url in enumerate(urls):
+        target = (url or "").partition("://")[2]
+        assert found[i]["verdict"] == ("block" if any(a == "block" and re.search(x, target) for _, x, a, _, _ in rules) else "allow"), url
+    assert 0 < sum(r["n_candidates"] for r in found.values()) < len(rules) * len(urls) / 10
+    assert url_filters.judge_urls(pages, table.limit(0)).where("verdict = 'allow' AND rule IS NULL").count() == len(urls)
+
+
+def test_own_patterns_and_blank_urls(spark):
+    urls = {"http://x.poker-bonus.org/": "block", "http://poker.org/": "allow", "http://cheap-meds24.org/a": "block", "http://ad-tracker.com": "block", "http://a.org/x/login.php": "block",
+            "http://a.org/logins": "allow", "http://a.org/f/setup.exe": "block", "http://a.org/banners/1.gif": "block", "http://banners/1.gif": "allow", None: "allow"}
+    pages = spark.createDataFrame([(k, u) for k, u in enumerate(urls)] + [(1000 + k, None) for k in range(200)], "page_id long, url string")
+    found = {r["page_id"]: r["verdict"] for r in url_filters.judge_urls(pages).collect()}
+    assert [found[k] for k in range(len(urls))] == list(urls.values()) and len(found) == len(urls) + 200
+    # A rule without tokens may block the empty text, in every row of it.
+    every = url_filters.judge_urls(pages, (url_filters.Rule("^$", "block"),))
+    assert every.where("verdict = 'block'").count() == 201
