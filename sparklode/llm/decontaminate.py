@@ -23,9 +23,16 @@ The benchmark is a stated query set: it is read in blocks of ``ITEMS`` items, an
 each block meets every document. Nothing grows with the corpus on the driver:
 the summed matrices have a fixed size.
 
-Edge cases: null and empty texts, and items under ``LEAST`` words match
-nothing; an empty benchmark or table gives an empty result; repeated items are
-found under each id, repeated documents each.
+Words are runs of letters and digits; of scripts written without spaces each
+character is one. Items under ``LEAST`` words say too little to be looked for in
+other text: they match texts that have their words and no others.
+
+Edge cases: null and empty texts and items without words match nothing; texts
+of any length are read whole; an empty benchmark or table gives an empty result;
+repeated items are found under each id, repeated documents each; of stretches
+with equal shares of an item the first is reported; columns beyond doc_id and
+text (item_id and text of the benchmark) are passed through by ``clean`` and
+ignored elsewhere, whatever their names.
 """
 
 from __future__ import annotations
@@ -77,7 +84,7 @@ def grid(b: Batch, bucket: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarr
 
 def count_passages(texts: list[bytes]) -> np.ndarray:
     """In how many passages (end to end) each bucket stands; cell BUCKETS counts passages."""
-    b = Batch(texts, WORDS, lower=True)
+    b = Batch(texts, WORDS, lower=True, apart=True)
     rows = np.sort(grid(b, bucket_of(b.hashes), WINDOW)[0].astype(np.uint16), axis=1)
     new = np.ones(rows.shape, bool)
     new[:, 1:] = rows[:, 1:] != rows[:, :-1]
@@ -95,12 +102,9 @@ def frequencies(docs: DataFrame) -> np.ndarray:
             for _, part in blocks(batch.column(0)):
                 total += count_passages(part)
         if total.any():
-            # float32 holds whole numbers to 2**24: two halves keep larger counts exact
-            high = np.floor(total / 4096)
-            yield sliced(np.stack([high, total - high * 4096], 1), SLICES)
+            yield sliced(total, SLICES)
 
-    found = sum_matrices(docs.select("text").mapInArrow(run, "slice int, cells binary"), BUCKETS + SLICES, 2, SLICES).astype(float)
-    n = found[:, 0] * 4096 + found[:, 1]
+    n = sum_matrices(docs.select("text").mapInArrow(run, "slice int, cells binary"), BUCKETS + SLICES, 1, SLICES)[:, 0]
     return np.log((1 + n[BUCKETS]) / (1 + n[:BUCKETS])) + 0.1
 
 
@@ -112,7 +116,7 @@ def random_columns() -> tuple[np.ndarray, np.ndarray]:
 
 def sketch(texts: list[bytes], idf: np.ndarray) -> np.ndarray:
     """X'X omega over passages end to end: each word adds its passage's words to their columns."""
-    b = Batch(texts, WORDS, lower=True)
+    b = Batch(texts, WORDS, lower=True, apart=True)
     rows = grid(b, bucket_of(b.hashes), WINDOW)[0]
     column, sign = random_columns()
     weight = np.append(idf, 0.0)
@@ -214,6 +218,7 @@ class Items:
     light: np.ndarray
     word: np.ndarray
     holder: np.ndarray
+    short: dict[bytes, list[int]]
 
 
 def slack_of(n: int) -> int:
@@ -234,14 +239,14 @@ def light_words(words: list[int], need: int, idf: np.ndarray) -> tuple[list[int]
 
 
 def prepare(ids: list, texts: list[bytes], table: np.ndarray, idf: np.ndarray) -> Items:
-    b = Batch(texts, WORDS, lower=True)
+    b = Batch(texts, WORDS, lower=True, apart=True)
     h = b.hashes
     words, answers = [], []
     for text, f, c in zip(texts, b.first, b.count, strict=True):
         own = h[f : f + c].tolist()
         words.append(own)
         sentences = [s for s in text.replace(b"?", b".").replace(b"!", b".").split(b".") if s.strip()]
-        n = int(Batch([sentences[-1]], WORDS, lower=True).count[0]) if len(sentences) > 1 else 0
+        n = int(Batch([sentences[-1]], WORDS, lower=True, apart=True).count[0]) if len(sentences) > 1 else 0
         answers.append(own[-n:] if n else own[-max(1, len(own) // 3) :])
     x, owner, start = latent(table, b, bucket_of(h))
     long = b.count[owner] >= LEAST
@@ -251,7 +256,11 @@ def prepare(ids: list, texts: list[bytes], table: np.ndarray, idf: np.ndarray) -
     light, word = np.unique(np.array([w for own, _ in kept for w in own], np.uint64), return_inverse=True)
     holder = np.repeat(np.arange(len(kept)), [len(own) for own, _ in kept])
     must = np.array([m for _, m in kept])
-    return Items(ids, words, answers, [set(w) for w in words], x[long], owner[long], (start - b.first[owner])[long], np.array(need), np.array(reach), must, light, word, holder)
+    short: dict[bytes, list[int]] = {}
+    for i, (f, c) in enumerate(zip(b.first, b.count, strict=True)):
+        if 0 < c < LEAST:
+            short.setdefault(h[f : f + c].tobytes(), []).append(i)
+    return Items(ids, words, answers, [set(w) for w in words], x[long], owner[long], (start - b.first[owner])[long], np.array(need), np.array(reach), must, light, word, holder, short)
 
 
 def crowded(b: Batch, h: np.ndarray, items: Items) -> Iterator[np.ndarray]:
@@ -283,8 +292,13 @@ def crowded(b: Batch, h: np.ndarray, items: Items) -> Iterator[np.ndarray]:
 
 def matches(texts: list[bytes], items: Items, table: np.ndarray) -> Iterator[tuple[int, int, float, float, float, int, int]]:
     """(text, item, cosine, share of the item, share of the answer, first word, last word) of every accepted pair."""
-    b = Batch(texts, WORDS, lower=True)
+    b = Batch(texts, WORDS, lower=True, apart=True)
     h = b.hashes
+    if items.short:
+        for t in np.flatnonzero((b.count > 0) & (b.count < LEAST)).tolist():
+            n = int(b.count[t])
+            for i in items.short.get(h[b.first[t] : b.first[t] + n].tobytes(), ()):
+                yield t, i, 1.0, 1.0, 1.0, 0, n
     if not len(h) or not len(items.windows):
         return
     lengths = np.array([len(w) for w in items.words])

@@ -9,14 +9,17 @@ A filter of width w is a sum of w tables indexed by byte (embedding times
 weight), so scoring adds up table rows; two bytes' tables are merged into one
 of 65,536 rows.
 
-Learned from a bounded sample: of each of the ``LANGUAGES`` most frequent
-languages the ``PER_LANGUAGE`` rows with the smallest hash of doc_id that are
-not held out, ``PER_TEXT`` windows of each. Scoring reads every whole text in
+Learned from a bounded sample: of every language the ``PER_LANGUAGE`` rows with
+the smallest hash of doc_id that are not held out (fewer, where there are so
+many languages that these are more than ``ROWS``, but ``LEAST`` at least),
+``PER_TEXT`` windows of each. Scoring reads every whole text, of any length, in
 Arrow batches, without a shuffle.
 
 Edge cases: a text that is null or has no letter is ``und`` with score 0, also
-where there is nothing to learn from; with one language all others are it;
-rows are kept one for one.
+where there is nothing to learn from; with one language all others are it; of
+equally probable languages the first by name is given; rows are kept one for
+one, equal rows with equal answers; columns beyond doc_id, text and lang are
+ignored, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,14 +33,16 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import held_out
+from .common import held_out, least_hashes
 from .wordhash import blocks
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 8
 EMBEDDING = 8
-PER_LANGUAGE, LANGUAGES, PER_TEXT = 800, 200, 3
+PER_LANGUAGE, LEAST, ROWS, PER_TEXT = 800, 8, 160_000, 3
+#: Tables of up to so many languages are broadcast.
+BROADCAST = 100_000
 
 _ascii_letter = np.zeros(256, bool)
 _ascii_letter[[*range(65, 91), *range(97, 123)]] = True
@@ -144,12 +149,14 @@ def train(data: np.ndarray, y: np.ndarray, languages: list[str], rounds: int = 5
 def sample_windows(docs: DataFrame) -> DataFrame:
     """lang and ``window`` of some windows of the sampled rows."""
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(4, 2))
-    frequent = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).select("lang")
+    counts = usable.groupBy("lang").agg(F.count("*").cast("double").alias("__total"))
+    languages = counts.count()
+    each = min(PER_LANGUAGE, max(LEAST, ROWS // max(1, languages)))
+    counts = F.broadcast(counts) if languages <= BROADCAST else counts
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = (
-        usable.select("lang", "doc_id").join(F.broadcast(frequent), "lang", "left_semi")
-        .withColumn("__place", place).where(F.col("__place") <= PER_LANGUAGE).select("doc_id").distinct()
-    )
+    # The threshold leaves little more of any language than is taken.
+    few = least_hashes(usable.select("lang", "doc_id").join(counts, "lang"), "doc_id", each, F.col("__total"))
+    chosen = few.withColumn("__place", place).where(F.col("__place") <= each).select("doc_id").distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -164,7 +171,7 @@ def sample_windows(docs: DataFrame) -> DataFrame:
                         out.append(data[k].tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(out, pa.binary())], names=["lang", "window"])
 
-    # PER_LANGUAGE * LANGUAGES ids at most
+    # ROWS ids at most, or LEAST of each language
     rows = usable.join(F.broadcast(chosen), "doc_id", "left_semi").select("text", "lang")
     return rows.mapInArrow(run, "lang string, window binary")
 

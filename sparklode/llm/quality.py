@@ -2,7 +2,7 @@
 
 Every word bucket has a fixed sparse ternary index vector. A word's vector is
 the sum of the index vectors of the words beside it over the whole corpus
-(counted once per partition and added up slice by slice), plus its own. A
+(counted once per partition and added up slice by slice in a tree), plus its own. A
 document is the mean and the spread of its words' vectors with a few moments of
 its word distribution. The network's probabilities are calibrated by one
 temperature, fitted on labelled rows that training hasn't seen.
@@ -10,16 +10,19 @@ temperature, fitted on labelled rows that training hasn't seen.
 Labels are learned from a bounded sample: ``SAMPLE`` rows of each class at most,
 those with the smallest hash of doc_id among the rows that are not held out;
 their probabilities are weighted back to the classes' shares. Word vectors cover
-every document. Scoring reads every whole text, without a shuffle.
+every document. Scoring reads every whole text, of any length, without a shuffle.
 
 Edge cases: null and empty texts are documents without words and get the
 network's answer to that; rows without a label are scored alike; repeated labels
-of an id count once (the largest); rows are kept one for one. With labels of
-one class only the score is that class, without labels 0.5.
+of an id count once (the largest); rows are kept one for one, equal rows with
+equal scores; columns beyond doc_id and text are passed through by ``keep`` and
+ignored elsewhere, whatever their names; an empty table gives an empty result.
+With labels of one class only the score is that class, without labels 0.5.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,10 +32,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import held_out, kept_rows
-from .toxicity import HELD_BACK, labelled
+from .toxicity import labelled
 from .wordhash import KINDS, Batch, blocks, mix
 
 SAMPLE = 6000
+#: Every so many-th sampled row fits the temperature and not the network.
+HELD_BACK = 4
 #: Word buckets and vector width.
 BUCKETS, WIDTH = 1 << 14, 32
 #: Non-zero places of an index vector.
@@ -73,27 +78,35 @@ def contexts(texts: list[bytes], index: tuple[np.ndarray, np.ndarray]) -> np.nda
 
 
 def sum_matrices(parts: DataFrame, rows: int, width: int, slices: int) -> np.ndarray:
-    """The sum of matrices that came as ``(slice, cells)`` rows of float32; slices are added up apart from each other."""
+    """The sum of matrices that came as ``(slice, cells)`` rows; slices are added up apart from each other.
+
+    A tree of two steps: with P partitions no task reads more than about the
+    root of P rows. Cells are doubles, in which whole numbers stay whole.
+    """
     size = rows // slices * width
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            for s, cells in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for s, cells in zip(batch.column(0).to_pylist(), batch.column(2), strict=True):
                 sums.setdefault(s, np.zeros(size))
-                sums[s] += np.frombuffer(cells.as_buffer(), np.float32)
+                sums[s] += np.frombuffer(cells.as_buffer())
         if sums:
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.astype(np.float32).tobytes() for x in sums.values()], pa.binary())], names=["slice", "cells"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(np.zeros(len(sums), np.int32)), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["slice", "branch", "cells"])
 
-    out = np.zeros((slices, size), np.float32)
+    schema = "slice int, branch int, cells binary"
+    branches = max(1, math.isqrt(parts.rdd.getNumPartitions()))
+    some = parts.select("slice", F.pmod(F.spark_partition_id(), F.lit(branches)).alias("branch"), "cells")
+    some = some.repartition(slices * branches, "slice", "branch").mapInArrow(add, schema)
+    out = np.zeros((slices, size))
     # slices rows at most, of rows * width cells together, whatever the corpus
-    for r in parts.repartition(slices, "slice").mapInArrow(add, "slice int, cells binary").collect():
-        out[r["slice"]] += np.frombuffer(r["cells"], np.float32)
+    for r in some.repartition(slices, "slice").mapInArrow(add, schema).collect():
+        out[r["slice"]] += np.frombuffer(r["cells"])
     return out.reshape(rows, width)
 
 
 def sliced(matrix: np.ndarray, slices: int) -> pa.RecordBatch:
-    cut = matrix.astype(np.float32).reshape(slices, -1)
+    cut = matrix.astype(np.float64).reshape(slices, -1)
     return pa.RecordBatch.from_arrays([pa.array(range(slices), pa.int32()), pa.array([x.tobytes() for x in cut], pa.binary())], names=["slice", "cells"])
 
 
@@ -207,7 +220,7 @@ def feature_rows(rows: DataFrame, vectors: np.ndarray, label: str) -> DataFrame:
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE) -> Model:
     """Vectors from all documents, the network from most of the sample, the temperature from the rest."""
     vectors = word_vectors(docs)
-    found = feature_rows(labelled(docs, labels, label, sample), vectors, label).toPandas()
+    found = feature_rows(labelled(docs, labels, label, sample, HELD_BACK), vectors, label).toPandas()
     width = 2 * WIDTH + 4
     x = np.frombuffer(b"".join(found["x"]), np.float32).reshape(len(found), width).astype(float)
     return fit_network(vectors, x, found["y"].to_numpy(float), found["place"].to_numpy(), found["weight"].to_numpy(float))

@@ -1,6 +1,8 @@
 """Quality, toxicity and language: held-out accuracy on the test tables, odd tables."""
 
+import math
 import os
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -26,8 +28,8 @@ def test_quality_on_held_out_rows(spark):
 @tables
 def test_toxicity_on_held_out_rows(spark):
     rows = held_out_rows(spark, queries.op4_toxicity(spark, SF), "toxic")
-    assert (rows["predicted"] == rows["toxic"]).mean() > 0.93
-    assert rows.loc[rows["toxic"] == 0, "predicted"].mean() < 0.03
+    assert rows.loc[rows["toxic"] == 1, "predicted"].mean() > 0.87
+    assert rows.loc[rows["toxic"] == 0, "predicted"].mean() < 0.02
 
 
 @tables
@@ -108,8 +110,81 @@ def test_long_words_are_read_whole(spark):
     found = {bytes(r["word"]).decode(): (r["ordinary"], r["toxic"]) for r in toxicity.count_words(rows, "toxic").collect()}
     assert found == {good: (1, 0), bad: (1, 1), "x": (0, 1)}
     model = toxicity.fit_counts([good.encode(), bad.encode()], np.array([50, 1]), np.array([1, 50]))
-    a, b, c = toxicity.features(model, [t.encode() for t in (good + good, good + bad, good + " " + bad)])
-    assert (a != b).any() and b == pytest.approx(c)
+    a, b, c = toxicity.differences(model, [t.encode() for t in (good + good, good + bad, good + " " + bad)])
+    assert a != b and b == pytest.approx(c)
+
+
+def plain_ratio(words, ordinary, toxic, asked):
+    """log P(word | toxic) - log P(word | ordinary), from the definitions, over dictionaries."""
+    n, d = toxicity.ORDER, toxicity.DISCOUNT
+    pad = lambda w: b"\0" * (n - 1) + w + b"\0"
+    spelled = lambda w: [pad(w)[i : i + n] for i in range(len(w) + 1)]
+    every = {g for w in words for g in spelled(w)}
+
+    def shared(g):  # continuation probability of the last byte after the shorter context
+        kinds = Counter(x[1:] for x in (every if len(g) == n - 1 else {y[n - len(g) - 1 :] for y in every}))
+        if len(g) == 1:
+            return kinds[g] / sum(kinds.values())
+        total = sum(c for x, c in kinds.items() if x[:-1] == g[:-1])
+        follow = sum(1 for x in kinds if x[:-1] == g[:-1])
+        if not total:
+            return shared(g[1:])
+        return max(kinds[g] - d, 0) / total + d * follow / total * shared(g[1:])
+
+    def log_share(w, count):
+        counts = Counter()
+        for x, c in zip(words, count, strict=True):
+            for g in spelled(x):
+                counts[g] += c
+        spell = 1.0
+        for g in spelled(w):
+            total = sum(c for x, c in counts.items() if x[:-1] == g[:-1])
+            follow = sum(1 for x, c in counts.items() if x[:-1] == g[:-1] and c)
+            back = shared(g[1:])
+            spell *= max(counts[g] - d, 0) / total + d * follow / total * back if total else back
+        every_word = sum(count)
+        own = dict(zip(words, count, strict=True)).get(w, 0)
+        return math.log(max(own - d, 0) / every_word + d * sum(1 for c in count if c) / every_word * spell)
+
+    return [log_share(w, toxic) - log_share(w, ordinary) for w in asked]
+
+
+def test_word_ratios_equal_plain_kneser_ney():
+    words = [b"trash", b"trap", b"the", b"then", b"scum", b"sun"]
+    ordinary, toxic = [0, 5, 40, 9, 0, 7], [6, 1, 30, 4, 5, 1]
+    model = toxicity.fit_counts(words, np.array(ordinary), np.array(toxic))
+    asked = [*words, b"thrash", b"tres"]  # unseen words, of seen pieces
+    b = toxicity.Words([b" ".join(asked)])
+    said, back = model.of_words(b)
+    wanted = plain_ratio(words, ordinary, toxic, asked)
+    assert said[back][: len(words)] == pytest.approx(wanted[: len(words)], abs=1e-4)
+    # Of an unseen word only the pieces that a class has seen tell; the backoff is shared.
+    assert said[back][len(words) :] == pytest.approx(wanted[len(words) :], abs=0.05)
+
+
+def test_sums_of_matrices_in_a_tree(spark):
+    rng = np.random.default_rng(3)
+    parts = [(int(s), rng.integers(0, 1 << 40, 6).astype(float)) for s in range(4) for _ in range(9)]
+    rows = spark.createDataFrame([(s, bytearray(x.tobytes())) for s, x in parts], "slice int, cells binary").repartition(9)
+    found = quality.sum_matrices(rows, 8, 3, 4)
+    assert (found == np.concatenate([sum(x for t, x in parts if t == s).reshape(2, 3) for s in range(4)])).all()
+
+
+def test_every_language_is_learned(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "ROWS", 40)
+    rows = [(i, f"{chr(97 + i % 26)}{chr(97 + i % 10)} " * 60, f"l{i % 10}" if i % 3 else "hot") for i in range(600)]
+    found = language_id.sample_windows(spark.createDataFrame(rows, "doc_id long, text string, lang string")).toPandas()
+    each = found.groupby("lang").size()
+    assert len(each) == 11 and each.max() <= language_id.LEAST * language_id.PER_TEXT and each.min() >= language_id.LEAST
+
+
+def test_thresholds_leave_the_least_hashes(spark):
+    from sparklode.llm.common import least_hashes
+
+    rows = spark.range(20_000).withColumnRenamed("id", "doc_id")
+    few = least_hashes(rows, "doc_id", 100, F.lit(20_000.0))
+    order = lambda df: [r["doc_id"] for r in df.orderBy(F.xxhash64("doc_id"), "doc_id").limit(100).collect()]
+    assert few.count() < 400 and order(few) == order(rows)
 
 
 def test_toxicity_learns_from_as_many_rows_as_quality():
