@@ -51,19 +51,22 @@ def retrieval_text(comments: Column) -> Column:
 
 
 def non_blank(tokens: Column) -> Column:
-    return F.filter(tokens, lambda t: F.length(F.trim(t)) > 0)
+    return F.filter(tokens, lambda t: ~t.rlike(r"(?U)^\s*$"))
 
 
 def lexical_tokens(text: Column) -> Column:
     """Compatibility-decomposed, lower-cased runs of a-z and 0-9. Combining marks separate: an accented letter ends a token."""
-    plain = F.regexp_replace(F.lower(nfkd(F.coalesce(text, F.lit("")))), "[^a-z0-9]+", " ")
-    return F.filter(F.split(F.trim(plain), " "), lambda t: t != "")
+    text = F.coalesce(text, F.lit(""))
+    # Only texts beyond ASCII leave the JVM.
+    apart = F.coalesce(nfkd(F.when(text.rlike(r"[^\x00-\x7F]"), text)), text)
+    plain = F.trim(F.regexp_replace(F.lower(apart), "[^a-z0-9]+", " "))
+    return F.when(plain == "", F.array().cast("array<string>")).otherwise(F.split(plain, " "))
 
 
 def query_terms(text: Column, stop_words: tuple[str, ...] = STOP_WORDS, stemming: bool = True) -> Column:
     """Punctuation to blanks, lower case, split, stop words out, then Porter stems."""
     plain = F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), r"[^A-Za-z0-9_\s]", " "))
-    stops = F.array(*[F.lit(w) for w in stop_words])
+    stops = F.array(*[F.lit(w) for w in stop_words]).cast("array<string>")
     kept = F.filter(F.split(plain, r"\s+"), lambda t: (t != "") & ~F.array_contains(stops, t))
     return stem_all(kept) if stemming else kept
 

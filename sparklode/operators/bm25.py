@@ -3,21 +3,34 @@
 score(q, d) = sum over the query's tokens, repeated ones repeatedly, of
 idf * f (k1 + 1) / (f + k1 (1 - b + b dl / avgdl)), with
 idf = ln(1 + (N - df + 0.5) / (df + 0.5)).
+
+Two passes over the documents, and no shuffle of tokens: one counts what the
+queries' words need (n, total length, document frequencies), the other scores
+every document where it is read, in Arrow batches, and keeps the best k of a
+task. The queries' words are sent to the tasks up to ``BROADCAST_TERMS`` rows;
+beyond that postings and words are joined instead.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ranking import top_k
 from ..functions.text import lexical_tokens
+from ..sources.corpus import has_snippets
 
 K1, B = 1.5, 0.75
-#: Query tables of up to this many rows are broadcast to the postings.
+#: Rows (query, word) of queries that are sent to the tasks.
 BROADCAST_TERMS = 200_000
+#: Cells (query, document) that are scored at once.
+CELLS = 2_000_000
 
 
 @dataclass
@@ -44,10 +57,15 @@ class Index:
         return self.docs.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
 
 
-def build(corpus: DataFrame, text: Column, tokenizer=lexical_tokens, k1: float = K1, b: float = B) -> Index:
-    """An index of the rows of ``corpus`` (column ``ord``); ``tokenizer`` maps a text column to a token array."""
-    docs = corpus.select("ord", tokenizer(text).alias("tokens")).withColumn("dl", F.size("tokens"))
-    return Index(docs.persist(), k1, b)
+def build(corpus: DataFrame, text: Column, tokenizer=lexical_tokens, k1: float = K1, b: float = B, snippets: str | None = "snippets") -> Index:
+    """An index of the rows of ``corpus`` (column ``ord``); ``tokenizer`` maps a text column to a token array.
+
+    Documents that have nothing to insert are left out, if ``corpus`` has the array column ``snippets``.
+    """
+    if snippets in corpus.columns:
+        corpus = corpus.where(has_snippets(F.col(snippets)))
+    docs = corpus.select(F.col("ord").cast("long").alias("ord"), tokenizer(text).alias("tokens"))
+    return Index(docs.withColumn("dl", F.size("tokens")), k1, b)
 
 
 def idf(n: Column, df: Column) -> Column:
@@ -63,8 +81,113 @@ def query_tokens(queries: DataFrame, text: Column, tokenizer=lexical_tokens) ->
     return queries.select("query_id", F.explode(tokenizer(text)).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
 
 
-def scores(index: Index, terms: DataFrame) -> DataFrame:
-    """(query_id, ord, score) of all pairs that share a term, rounded to six places.
+def counts_of(tokens: pa.ListArray, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, word, times) of those tokens of the batch that are among ``words``."""
+    at = pc.index_in(tokens.flatten(), words)
+    owner = np.repeat(np.arange(len(tokens)), pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False))
+    held = at.is_valid().to_numpy(zero_copy_only=False)
+    cell, times = np.unique(owner[held] * len(words) + at.drop_null().to_numpy(), return_counts=True)
+    return cell // len(words), cell % len(words), times
+
+
+def term_stats(docs: DataFrame, words: pa.Array) -> tuple[int, float, np.ndarray]:
+    """Documents, their total length and the document frequency of each of ``words``, in one pass."""
+    shared = docs.sparkSession.sparkContext.broadcast(words)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, total, df = 0, 0, np.zeros(len(shared.value), np.int64)
+        for batch in batches:
+            n += len(batch)
+            total += pc.sum(batch.column(1)).as_py() or 0
+            df += np.bincount(counts_of(batch.column(0), shared.value)[1], minlength=len(df)) if len(df) else 0
+        some = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(some, [-1, -2])), pa.array(np.append(df[some], [n, total]))], names=["no", "count"])
+
+    found = docs.select("tokens", "dl").mapInArrow(run, "no long, count long").groupBy("no").agg(F.sum("count").alias("count"))
+    counted = {r["no"]: r["count"] for r in found.collect()}  # a row for each word, BROADCAST_TERMS at most
+    return counted.get(-1, 0), counted.get(-2, 0), np.array([counted.get(i, 0) for i in range(len(words))], np.int64)
+
+
+def scores(index: Index, terms: DataFrame, k: int | None = None) -> DataFrame:
+    """(query_id, ord, score) of all pairs that share a term, rounded to six places; with ``k`` the best k of each task at least."""
+    spark = index.docs.sparkSession
+    # Up to the limit is read; if there is more, it isn't used.
+    rows = terms.select(F.col("query_id").cast("long").alias("query_id"), "term", "qtf").limit(BROADCAST_TERMS + 1).toPandas()
+    if len(rows) > BROADCAST_TERMS:
+        return joined_scores(index, terms)
+    names, no = np.unique(rows["term"].to_numpy(str), return_inverse=True) if len(rows) else (np.zeros(0, str), np.zeros(0, np.int64))
+    words = pa.array(names.tolist(), pa.string())
+    n, total, df = term_stats(index.docs, words)
+    ids, query = np.unique(rows["query_id"].to_numpy(np.int64), return_inverse=True)
+    w = rows["qtf"].to_numpy(float) * np.log(1 + (n - df[no] + 0.5) / (df[no] + 0.5))
+    # Words by number, each with its queries and their weights.
+    by = np.argsort(no, kind="stable")
+    first = np.searchsorted(no[by], np.arange(len(words) + 1))
+    shared = spark.sparkContext.broadcast((words, first, query[by], w[by], ids))
+    k1, b, mean = index.k1, index.b, total / max(n, 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, first, query, w, ids = shared.value
+        if not len(ids):
+            return
+        best = Best(len(ids), k) if k else None
+        step = max(1, CELLS // len(ids))
+        for whole in batches:
+            for at in range(0, len(whole), step):
+                batch = whole.slice(at, step)
+                doc, word, tf = counts_of(batch.column(1), words)
+                dl = batch.column(2).to_numpy().astype(float)
+                part = tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl[doc] / max(mean, 1e-9)))
+                times = (first[1:] - first[:-1])[word]
+                pair = np.repeat(first[word] - (np.cumsum(times) - times), times) + np.arange(times.sum())
+                cell = np.repeat(doc, times) * len(ids) + query[pair]
+                found = np.bincount(cell, weights=np.repeat(part, times) * w[pair], minlength=len(batch) * len(ids))
+                hit = np.unique(cell)
+                row, q, score, ords = hit // len(ids), hit % len(ids), np.round(found[hit], 6), batch.column(0).to_numpy()
+                if best:
+                    best.add(q, ords[row], score)
+                else:
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(ords[row]), pa.array(score)], names=["query_id", "ord", "score"])
+        if best:
+            q, ords, score = best.rows()
+            yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(ords), pa.array(score)], names=["query_id", "ord", "score"])
+
+    return index.docs.select("ord", "tokens", "dl").mapInArrow(run, "query_id long, ord long, score double")
+
+
+class Best:
+    """The best k (ord, score) of each query, ties by ord; rows are held until they are many and then cut."""
+
+    def __init__(self, queries: int, k: int):
+        self.k, self.limit = k, max(1_000_000, 4 * queries * k)
+        self.held: list[tuple[np.ndarray, ...]] = []
+        self.size = 0
+
+    def add(self, query: np.ndarray, ords: np.ndarray, score: np.ndarray) -> None:
+        self.held.append((query, ords, score))
+        self.size += len(query)
+        if self.size > self.limit:
+            self.rows()
+
+    def rows(self) -> tuple[np.ndarray, ...]:
+        query, ords, score = (np.concatenate(x) for x in zip(*self.held, strict=True)) if self.held else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        # A document counts once, by its best score.
+        by = np.lexsort((-score, ords, query))
+        query, ords, score = query[by], ords[by], score[by]
+        if len(query):
+            once = np.concatenate([[True], (query[1:] != query[:-1]) | (ords[1:] != ords[:-1])])
+            query, ords, score = query[once], ords[once], score[once]
+        by = np.lexsort((ords, -score, query))
+        query, ords, score = query[by], ords[by], score[by]
+        start = np.searchsorted(query, query)
+        keep = np.arange(len(query)) - start < self.k
+        self.held = [(query[keep], ords[keep], score[keep])]
+        self.size = int(keep.sum())
+        return self.held[0]
+
+
+def joined_scores(index: Index, terms: DataFrame) -> DataFrame:
+    """As ``scores``, by joins: for more query words than are sent to tasks.
 
     Postings of terms that no query has are dropped before they are counted.
     """
@@ -78,18 +201,22 @@ def scores(index: Index, terms: DataFrame) -> DataFrame:
     return postings.join(weight, "term").groupBy("query_id", "ord").agg(F.round(F.sum(part), 6).alias("score"))
 
 
-def search(index: Index, queries: DataFrame, text: Column, k: int = 10, tokenizer=lexical_tokens) -> DataFrame:
-    """(query_id, ord, score, rank): the best k documents of each query.
+def search(index: Index, queries: DataFrame, text: Column, k: int = 10, tokenizer=lexical_tokens, known: DataFrame | None = None) -> DataFrame:
+    """(query_id, ord, score, rank): the best k documents of each query; ``known`` (ord) restricts them before ranking.
 
     Queries with fewer matches are filled up with documents of score 0 in
     order, as all documents have a score.
     """
     queries = queries.select("query_id", text.alias("__text"))
-    matched = top_k(scores(index, query_tokens(queries, F.col("__text"), tokenizer)), k, "query_id").persist()
-    have = matched.groupBy("query_id").agg(F.count("*").alias("have"))
-    short = queries.select("query_id").join(have, "query_id", "left").where(F.coalesce("have", F.lit(0)) < k).select("query_id")
+    found = scores(index, query_tokens(queries, F.col("__text"), tokenizer), k if known is None else None)
+    docs = index.docs.select("ord")
+    if known is not None:
+        known = known.select(F.col("ord").cast("long").alias("ord")).distinct()
+        found, docs = found.join(known, "ord", "left_semi"), docs.join(known, "ord", "left_semi")
     # A query with m < k matches needs k - m others: they are among the first 2k documents.
-    first = index.docs.select("ord").orderBy("ord").limit(2 * k)
-    fill = short.crossJoin(F.broadcast(first)).join(matched.select("query_id", "ord"), ["query_id", "ord"], "left_anti")
-    both = matched.select("query_id", "ord", "score").unionByName(fill.withColumn("score", F.lit(0.0)))
+    first = docs.orderBy("ord").limit(2 * k)
+    fill = queries.select("query_id").crossJoin(F.broadcast(first)).withColumn("score", F.lit(0.0))
+    best = top_k(found.select("query_id", "ord", "score"), k, "query_id").drop("rank")
+    # Among equal pairs the match counts.
+    both = best.unionByName(fill).groupBy("query_id", "ord").agg(F.max("score").alias("score"))
     return top_k(both, k, "query_id")

@@ -7,24 +7,27 @@ an array of chunk vectors per document.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable, Iterator
 from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.ranking import top_k
 from ..functions.text import retrieval_text
 from ..functions.vector import MAX_LEN, OVERLAP, dot
+from .bm25 import Best
 
 #: (ids, mask), both (batch, length) -> hidden states (batch, length, width)
 Encoder = Callable[[np.ndarray, np.ndarray], np.ndarray]
 Tokenizer = Callable[[str], list[int]]
-#: Query vectors that are broadcast and multiplied at once.
-QUERY_BLOCK = 4096
+#: Query vectors that are broadcast and multiplied at once, and chunks.
+QUERY_BLOCK, SLICE = 4096, 256
 
 
 def pool(hidden: np.ndarray, mask: np.ndarray) -> np.ndarray:
@@ -53,33 +56,46 @@ def encode(chunks: list[list[int]], encoder: Encoder, batch: int = 64) -> np.nda
     return np.concatenate(out) if out else np.zeros((0, 0), np.float32)
 
 
-def onnx_encoder(path: str) -> Encoder:
-    """Hidden states of an ONNX sentence model; one session per worker process."""
+def ship(spark: SparkSession, path: str) -> str:
+    """Sends a model file to all executors; the name by which ``local`` finds it there."""
+    spark.sparkContext.addFile(path)
+    return os.path.basename(path)
+
+
+def local(path: str) -> str:
+    """A file at its path, or as it was shipped."""
+    return path if os.path.exists(path) else SparkFiles.get(path)
+
+
+@lru_cache(maxsize=4)
+def session(path: str):
+    """An ONNX session, one per process and file."""
+    import onnxruntime
+
+    return onnxruntime.InferenceSession(local(path))
+
+
+@lru_cache(maxsize=4)
+def loaded_tokenizer(path: str):
+    from tokenizers import Tokenizer as Loaded
 
-    @lru_cache(maxsize=1)
-    def session():
-        import onnxruntime
+    return Loaded.from_file(local(path))
 
-        return onnxruntime.InferenceSession(path)
+
+def onnx_encoder(path: str) -> Encoder:
+    """Hidden states of an ONNX sentence model, by its path or shipped name."""
 
     def run(ids: np.ndarray, mask: np.ndarray) -> np.ndarray:
         given = {"input_ids": ids, "attention_mask": mask, "token_type_ids": np.zeros_like(ids)}
-        names = {i.name for i in session().get_inputs()}
-        return session().run(["last_hidden_state"], {k: v for k, v in given.items() if k in names})[0]
+        names = {i.name for i in session(path).get_inputs()}
+        return session(path).run(["last_hidden_state"], {k: v for k, v in given.items() if k in names})[0]
 
     return run
 
 
 def file_tokenizer(path: str) -> Tokenizer:
-    """Sub-word ids by a tokenizer file, special tokens included."""
-
-    @lru_cache(maxsize=1)
-    def load():
-        from tokenizers import Tokenizer as Loaded
-
-        return Loaded.from_file(path)
-
-    return lambda text: load().encode(text).ids
+    """Sub-word ids by a tokenizer file (path or shipped name), special tokens included."""
+    return lambda text: loaded_tokenizer(path).encode(text).ids
 
 
 def build_index(corpus: DataFrame, tokenizer: Tokenizer, encoder: Encoder) -> DataFrame:
@@ -138,48 +154,65 @@ def search(queries: DataFrame, chunks: DataFrame, k: int, on: list[str] | None =
     return top_k(scored.withColumn("score", F.round("score", 6)), k, "query_id")
 
 
-def blocked_search(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
-    """As ``search``, by one matrix product per batch of chunks and block of queries.
+def blocked_search(queries: DataFrame, chunks: DataFrame, k: int, on: list[str] | None = None) -> DataFrame:
+    """As ``search``, by one matrix product per slice of chunks and block of queries.
 
     Query vectors are read in blocks of ``QUERY_BLOCK``; each block meets every
-    chunk once. A partition keeps the best k documents per query only, so what
-    is shuffled is k rows per query and partition.
+    chunk once. Of a slice the best chunks of each query are picked before
+    they become rows, and a partition keeps the best k documents per query only,
+    so what is shuffled is k rows per query and partition.
     """
-    spark = queries.sparkSession
+    spark, on = queries.sparkSession, on or []
 
     def against(rows: list) -> DataFrame:
         ids = np.array([r["query_id"] for r in rows])
-        shared = spark.sparkContext.broadcast((ids, np.array([r["vec"] for r in rows], np.float64)))
+        places = np.array(["\0".join(str(r[c]) for c in on) for r in rows], str)
+        shared = spark.sparkContext.broadcast((ids, np.array([r["vec"] for r in rows], np.float64), places))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ids, asked = shared.value
-            best: pd.DataFrame | None = None
-            for batch in batches:
-                ords = batch.column(0).to_numpy()
-                if not len(ords):
-                    continue
-                vecs = np.stack(batch.column(1).to_numpy(zero_copy_only=False)).astype(np.float64)
-                near = np.round(vecs @ asked.T, 6)
-                docs, at = np.unique(ords, return_inverse=True)
-                top = np.full((len(docs), len(ids)), -np.inf)
-                np.maximum.at(top, at, near)
-                frame = pd.DataFrame({"query": np.tile(np.arange(len(ids)), len(docs)), "ord": np.repeat(docs, len(ids)), "score": top.ravel()})
-                frame = frame if best is None else pd.concat([best, frame]).groupby(["query", "ord"], as_index=False)["score"].max()
-                best = frame.sort_values(["query", "score", "ord"], ascending=[True, False, True]).groupby("query").head(k)
-            if best is not None:
-                yield pa.RecordBatch.from_arrays([pa.array(ids[best["query"]]), pa.array(best["ord"].to_numpy()), pa.array(best["score"].to_numpy())], names=["query_id", "ord", "score"])
-
-        return chunks.select("ord", "vec").mapInArrow(run, "query_id long, ord long, score double")
-
-    parts = [against(block) for block in query_blocks(queries.select("query_id", "vec"))]
+            ids, asked, places = shared.value
+            best = Best(len(ids), k)
+            for whole in batches:
+                for at in range(0, len(whole), SLICE):
+                    batch = whole.slice(at, SLICE)
+                    vecs = np.stack(batch.column(1).to_numpy(zero_copy_only=False)).astype(np.float64)
+                    near = np.round(vecs @ asked.T, 6)
+                    if on:
+                        own = np.array(["\0".join(map(str, r)) for r in zip(*(batch.column(2 + i).to_pylist() for i in range(len(on))), strict=True)], str)
+                        near[own[:, None] != places[None]] = -np.inf
+                    # A document counts by its best chunk.
+                    ords = batch.column(0).to_numpy()
+                    by = np.argsort(ords, kind="stable")
+                    docs = np.flatnonzero(np.concatenate([[True], ords[by][1:] != ords[by][:-1]]))
+                    near, ords = np.maximum.reduceat(near[by], docs, axis=0), ords[by][docs]
+                    if len(ords) > k:  # ties of the k-th stay
+                        least = -np.partition(-near, k - 1, axis=0)[k - 1]
+                        row, q = np.nonzero((near >= least) & (near > -np.inf))
+                    else:
+                        row, q = np.nonzero(near > -np.inf)
+                    best.add(q, ords[row], near[row, q])
+            q, ords, score = best.rows()
+            yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(ords), pa.array(score)], names=["query_id", "ord", "score"])
+
+        return chunks.select(F.col("ord").cast("long"), "vec", *on).mapInArrow(run, "query_id long, ord long, score double")
+
+    parts = [against(block) for block in query_blocks(queries.select("query_id", "vec", *on))]
     if not parts:
         parts.append(chunks.select(F.lit(0).cast("long").alias("query_id"), "ord", F.lit(0.0).alias("score")).limit(0))
-    found = parts[0]
-    for part in parts[1:]:
-        found = found.union(part)
+    found = reduce(DataFrame.union, parts)
     return top_k(found.groupBy("query_id", "ord").agg(F.max("score").alias("score")), k, "query_id")
 
 
 def exploded(index: DataFrame, *keep: str) -> DataFrame:
     """(ord, vec, ...): a row per chunk of an index."""
     return index.select("ord", *keep, F.explode("embeddings").alias("vec"))
+
+
+def fill_up(found: DataFrame, queries: DataFrame, index: DataFrame, k: int, on: list[str] | None = None) -> DataFrame:
+    """``found`` with documents without a chunk, whose score is minus infinity, for queries that have fewer than k results."""
+    bare = index.where(F.coalesce(F.size("embeddings"), F.lit(0)) <= 0).select("ord", *(on or []))
+    asked = queries.select("query_id", *(on or []))
+    # k of each language at most
+    first = top_k(bare.withColumn("score", F.lit(float("-inf"))), k, *(on or [])) if on else bare.orderBy("ord").limit(k).withColumn("score", F.lit(float("-inf")))
+    more = (asked.join(F.broadcast(first), on) if on else asked.crossJoin(F.broadcast(first))).select("query_id", "ord", "score")
+    return top_k(found.select("query_id", "ord", "score").unionByName(more), k, "query_id")

@@ -1,7 +1,8 @@
 """Readers and writers of corpora, test cases, model files, indexes and reports.
 
 A corpus file is one JSON object, id -> {comments, snippets, key}; the order of
-its ids is the documents' order (``ord``).
+its ids is the documents' order (``ord``): ids that are whole numbers (below 2^32 - 1,
+without leading zeros) come first by value, then the others as written.
 """
 
 from __future__ import annotations
@@ -30,7 +31,10 @@ def _whole(spark: SparkSession, path: str, schema: T.DataType) -> DataFrame:
 
 def read_corpus(spark: SparkSession, path: str, lang: str | None = None) -> DataFrame:
     """(lang, ord, id, comments, snippets, key) of a corpus file, in file order."""
-    entries = _whole(spark, path, T.MapType(T.StringType(), DOCUMENT)).select(F.posexplode(F.map_entries("value")).alias("ord", "e"))
+    whole = _whole(spark, path, T.MapType(T.StringType(), DOCUMENT)).select(F.map_entries("value").alias("es"))
+    number = lambda e: e["key"].rlike("^(0|[1-9][0-9]{0,9})$") & (e["key"].try_cast("long") < 4294967295)
+    first = F.array_sort(F.filter("es", number), lambda a, b: (a["key"].cast("long") - b["key"].cast("long")).cast("int"))
+    entries = whole.select(F.posexplode(F.concat(first, F.filter("es", lambda e: ~number(e)))).alias("ord", "e"))
     return entries.select(F.lit(lang).cast("string").alias("lang"), F.col("ord").cast("long").alias("ord"), F.col("e.key").alias("id"), "e.value.comments", "e.value.snippets", F.col("e.value.key").alias("key"))
 
 
@@ -44,8 +48,8 @@ def read_corpora(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
 
 
 def read_cases(spark: SparkSession, path: str) -> DataFrame:
-    """(key, query, lang) test cases of a JSON array; a file that can't be read fails."""
-    return _whole(spark, path, T.ArrayType(CASE)).select(F.inline("value"))
+    """(no, key, query, lang) test cases of a JSON array; a file that can't be read fails."""
+    return _whole(spark, path, T.ArrayType(CASE)).select(F.posexplode("value").alias("no", "case")).select("no", "case.*")
 
 
 def read_model_info(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:

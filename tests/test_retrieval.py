@@ -6,7 +6,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from sparklode.functions import lang, segment
 from sparklode.operators import assemble, bm25, dense, evaluate, tfidf
+from sparklode.plans import jobs
 from sparklode.plans.registry import QUERIES, stub_encoder, stub_tokenizer
 from sparklode.sources import corpus as source
 from sparklode.streaming.serve import serve
@@ -45,9 +47,156 @@ def test_tfidf_known_keys_and_stems(spark):
     docs = spark.createDataFrame(list(enumerate(TEXTS)), "ord long, text string")
     asked = spark.createDataFrame([(1, "drawing circles")], "query_id long, text string")
     found = tfidf.search(docs, F.col("text"), asked, F.col("text")).orderBy("rank").collect()
-    assert [r["ord"] for r in found] == [0, 3, 1]
+    assert [r["ord"] for r in found] == [0, 3, 1, 2] and found[-1]["score"] == 0  # all documents are ranked
     only = tfidf.search(docs, F.col("text"), asked, F.col("text"), known=docs.where("ord > 0"))
-    assert {r["ord"] for r in only.collect()} == {3, 1}
+    assert [r["ord"] for r in only.orderBy("rank").collect()] == [3, 1, 2]
+
+
+@pytest.mark.parametrize("module", [bm25, tfidf])
+def test_more_words_than_are_sent_are_joined(spark, monkeypatch, module):
+    docs = spark.createDataFrame(list(enumerate(TEXTS)), "ord long, text string")
+    asked = spark.createDataFrame([(1, "draw a circle box"), (2, "box box arc"), (3, "née")], "query_id long, text string")
+
+    def found():
+        rows = bm25.search(bm25.build(docs, F.col("text")), asked, F.col("text"), 3) if module is bm25 else tfidf.search(docs, F.col("text"), asked, F.col("text"), 3)
+        return [tuple(r) for r in rows.orderBy("query_id", "rank").collect()]
+
+    before = found()
+    monkeypatch.setattr(module, "BROADCAST_TERMS", 2)
+    assert found() == before and len(before) == 9
+
+
+def test_bm25_parameters_and_known_documents(spark):
+    docs = spark.createDataFrame([(i, t, ["x"] if i != 1 else []) for i, t in enumerate(TEXTS)], "ord long, text string, snippets array<string>")
+    asked = spark.createDataFrame([(1, "box circle")], "query_id long, text string")
+    index = bm25.build(docs, F.col("text"), k1=0.0)
+    assert index.docs.count() == 3  # document 1 has nothing to insert
+    found = bm25.search(index, asked, F.col("text"), 5).orderBy("rank").collect()
+    assert [r["ord"] for r in found] == [0, 3, 2]
+    assert found[0]["score"] == pytest.approx(np.log(1 + (3 - 2 + 0.5) / 2.5), abs=1e-6)  # k1 = 0: idf alone
+    only = bm25.search(index, asked, F.col("text"), 1, known=docs.where("ord >= 2")).collect()
+    assert [(r["ord"], r["rank"]) for r in only] == [(3, 1)]
+
+
+def test_a_models_keys_and_weights(spark, tmp_path):
+    (tmp_path / "info.json").write_text(json.dumps({"vocabulary": {"box": 0, "circl": 2, "draw": 1}, "keys": ["b", "gone", "a"]}))
+    (tmp_path / "docs.json").write_text(json.dumps({"a": {"comments": ["circle"], "snippets": ["C()"]}, "b": {"comments": ["box"], "snippets": []}}))
+    matrix = np.array([[1.0, 0.2, 0.0], [0.5, 0.5, 0.5], [0.0, 0.2, 1.0]])
+    engine = jobs.Weighted.create(spark, str(tmp_path / "info.json"), tfidf.weights_score(matrix), str(tmp_path / "docs.json"))
+    asked = spark.createDataFrame([(1, "The box, draw!"), (2, "circle circle")], "query_id long, text string")
+    found = engine.search(asked, 2).orderBy("query_id", "rank").collect()
+    assert [(r["query_id"], r["id"], r["ord"], r["rank"]) for r in found] == [(1, "b", 0, 1), (1, "a", 2, 2), (2, "a", 2, 1), (2, "b", 0, 2)]
+    assert found[0]["score"] == pytest.approx(1.2 / np.sqrt(2 * 1.04), abs=1e-6)
+
+
+def test_one_best_chunk_a_document(spark):
+    chunks = spark.createDataFrame([(1, [1.0, 0.0], "en"), (1, [0.9, 0.1], "en"), (1, [0.8, 0.1], "en"), (2, [0.5, 0.5], "en"), (3, [0.7, 0.0], "de")], "ord long, vec array<float>, lang string")
+    asked = spark.createDataFrame([(7, [1.0, 0.0], "en"), (8, [1.0, 0.0], "de")], "query_id long, vec array<float>, lang string")
+    by = ["query_id", "rank"]
+    wanted = [(7, 1, 1.0, 1), (7, 2, 0.5, 2), (8, 3, 0.7, 1)]
+    for found in (dense.search(asked, chunks, 2, ["lang"]), dense.blocked_search(asked, chunks, 2, ["lang"])):
+        assert [(r["query_id"], r["ord"], r["score"], r["rank"]) for r in found.orderBy(*by).collect()] == wanted
+
+
+def test_queries_are_cut_and_documents_are_not(spark):
+    long = " ".join(["a"] * 512 + ["b"] * 300)
+    one = dense.encode_queries(spark.createDataFrame([(1, long), (2, " ".join(["a"] * 512))], "query_id long, text string"), stub_tokenizer, stub_encoder).collect()
+    assert one[0]["vec"] == one[1]["vec"]
+    assert len(dense.build_index(spark.createDataFrame([(0, [long])], "ord long, comments array<string>"), stub_tokenizer, stub_encoder).collect()[0]["embeddings"]) == 2
+
+
+def field(number, kind, value):
+    """A protocol buffer field: a varint (kind 0) or bytes (kind 2)."""
+    def varint(n):
+        out = b""
+        while n > 127:
+            out, n = out + bytes([n & 127 | 128]), n >> 7
+        return out + bytes([n])
+
+    return varint(number << 3 | kind) + (varint(value) if kind == 0 else varint(len(value)) + value)
+
+
+def tiny_model(table):
+    """An ONNX model that looks its input ids up in a table of hidden states."""
+    dims = b"".join(field(1, 0, d) for d in table.shape)
+    weights = dims + field(2, 0, 1) + field(8, 2, b"table") + field(9, 2, table.astype("<f4").tobytes())
+    node = field(1, 2, b"table") + field(1, 2, b"input_ids") + field(2, 2, b"last_hidden_state") + field(4, 2, b"Gather")
+
+    def value(name, kind, *shape):
+        sizes = b"".join(field(1, 2, field(2, 2, s.encode()) if isinstance(s, str) else field(1, 0, s)) for s in shape)
+        return field(1, 2, name) + field(2, 2, field(1, 2, field(1, 0, kind) + field(2, 2, sizes)))
+
+    graph = field(1, 2, node) + field(2, 2, b"g") + field(5, 2, weights) + field(11, 2, value(b"input_ids", 7, "n", "m")) + field(12, 2, value(b"last_hidden_state", 1, "n", "m", table.shape[1]))
+    return field(1, 0, 8) + field(8, 2, field(2, 0, 13)) + field(7, 2, graph)
+
+
+def test_model_and_tokenizer_files(spark, tmp_path):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    table = np.random.default_rng(1).normal(size=(5, 6)).astype(np.float32)
+    (tmp_path / "tiny.onnx").write_bytes(tiny_model(table))
+    words = Tokenizer(models.WordLevel({"[UNK]": 0, "draw": 1, "a": 2, "box": 3, "circle": 4}, unk_token="[UNK]"))
+    words.pre_tokenizer = pre_tokenizers.Whitespace()
+    words.save(str(tmp_path / "words.json"))
+    names = [dense.ship(spark, str(tmp_path / n)) for n in ("tiny.onnx", "words.json")]
+    encoder, tokenizer = dense.onnx_encoder(names[0]), dense.file_tokenizer(names[1])
+    docs = spark.createDataFrame([(0, "x", ["draw a box"], ["B()"]), (1, "y", ["draw a circle"], []), (2, "z", [], [])], "ord long, id string, comments array<string>, snippets array<string>")
+    engine = jobs.Dense(dense.build_index(docs, tokenizer, encoder), tokenizer, encoder)
+    mean = table[[1, 2, 3]].mean(0)
+    assert engine.index.where("ord = 0").collect()[0]["embeddings"][0] == pytest.approx(mean / np.linalg.norm(mean), abs=1e-5)
+    found = engine.search(spark.createDataFrame([(5, "draw a circle")], "query_id long, text string"), 3).orderBy("rank").collect()
+    assert [r["id"] for r in found] == ["y", "x", "z"] and found[0]["score"] == pytest.approx(1, abs=1e-5) and found[2]["score"] == float("-inf")
+    assert dense.session(str(tmp_path / "tiny.onnx")) is dense.session(str(tmp_path / "tiny.onnx"))
+
+
+def test_build_search_and_evaluate_several_languages(spark, tmp_path):
+    files = {
+        "en": {"box": {"comments": ["draw a box"], "snippets": ["Box()"]}, "circle": {"comments": ["draw a circle"], "snippets": ["C()"]}, "7": {"comments": ["seven"], "snippets": ["S()"]}},
+        "zh-cn": {"box": {"comments": ["画一个对话框"], "snippets": ["Box()"]}, "circle": {"comments": ["画圆形"], "snippets": ["C()"]}},
+    }
+    for lang, docs in files.items():
+        (tmp_path / f"{lang}.json").write_text(json.dumps(docs, ensure_ascii=False))
+    shifted = lambda ids, mask: stub_encoder((ids + 1) % 998, mask)  # noqa: E731  another encoder for the other language
+    letters = lambda line: [ord(c) % 997 + 1 for c in line]
+    encoders = {"en": (stub_tokenizer, stub_encoder), "zh-cn": (letters, shifted)}
+    index = jobs.build_all(spark, {lang: (str(tmp_path / f"{lang}.json"), *own) for lang, own in encoders.items()}, str(tmp_path / "index"))
+    assert index.count() == 5 and (tmp_path / "index" / "lang=zh-cn").is_dir()
+    assert [r["id"] for r in index.where("lang = 'en'").orderBy("ord").collect()] == ["7", "box", "circle"]  # whole numbers come first
+    engines = jobs.load_all(spark, str(tmp_path / "index"), encoders)
+    cases = [{"key": "box", "query": "draw a box", "lang": "en"}, {"key": "box", "query": "draw a circle", "lang": "en"}, {"key": "circle", "query": "画圆形", "lang": "zh-cn"}, {"key": "x", "query": "x", "lang": "fr"}]
+    (tmp_path / "cases.json").write_text(json.dumps(cases, ensure_ascii=False))
+    graded = jobs.run_eval(spark, str(tmp_path / "cases.json"), engines, report=str(tmp_path / "report"))
+    assert sorted((r["lang"], r["query"], r["score"]) for r in graded.collect()) == [("en", "draw a box", 1.0), ("en", "draw a circle", 0.5), ("zh-cn", "画圆形", 1.0)]
+    lines = [r["value"] for r in spark.read.text(str(tmp_path / "report")).collect()]
+    assert lines[0].startswith("TEST RESULTS - ") and lines[1:5] == ["=" * 42, "", "LANGUAGE: EN", "-" * 42]
+    assert lines[5:11] == ["Key: box (Avg: 0.7500)", "  - [Score: 1     ] Query: draw a box", "  - [Score: 0.5   ] Query: draw a circle", "", ">> TOTAL AVERAGE FOR EN: 0.7500", "=" * 42]
+    asked = source.read_cases(spark, str(tmp_path / "cases.json")).select(F.col("no").alias("query_id"), "lang", F.col("query").alias("text"))
+    assert [r["lang"] for r in jobs.unanswered(asked, engines).collect()] == ["fr"]
+    tokens = {"en": bm25.lexical_tokens, "zh-cn": segment.chinese_tokens({"对话框": 3.0, "圆形": 2.0, "画": 1.0})}
+    lexical = {lang: jobs.Lexical.create(spark, str(tmp_path / f"{lang}.json"), tokenizer=tokens[lang]) for lang in files}
+    best = {r["query_id"]: r["id"] for r in jobs.search_all(asked.where("lang <> 'fr'"), lexical, 1).collect()}
+    assert best == {0: "box", 1: "circle", 2: "circle"}
+    empty = jobs.Dense(index.limit(0), stub_tokenizer, stub_encoder)
+    with pytest.raises(ValueError):
+        jobs.run_eval(spark, str(tmp_path / "cases.json"), {"en": empty})
+    assert empty.search(asked.select("query_id", "text"), 2).count() == 0
+
+
+def test_segments():
+    cut = segment.Segmenter({"系统": 9, "函数": 8, "函数库": 6, "对话框": 5, "研究": 5, "研究生": 4, "生命": 5, "命": 2}).cut
+    assert cut("系统函数库中的对话框 Box2 ok!") == ["系统", "函数库", "中", "的", "对话框", " ", "Box2", " ", "ok", "!"]
+    assert cut("研究生命") == ["研究", "生命"]
+    assert segment.pairs("对话框A圆") == ["对话", "话框", "A", "圆"] and cut("") == segment.pairs("") == []
+
+
+def test_blank_tokens_go_and_case_stays(spark):
+    rows = spark.createDataFrame([(" 圆　Box ",), (None,)], "text string").select(segment.chinese_tokens()(F.col("text")).alias("t"))
+    assert [r["t"] for r in rows.collect()] == [["圆", "Box"], []]
+
+
+def test_other_character_tables(spark):
+    row = spark.createDataFrame([("甲乙 丙",)], "text string").select(lang.identify_language(F.col("text"), ("甲", "乙丙")).alias("a"), lang.identify_language(F.col("text"), ("甲丙", "乙")).alias("b"))
+    assert tuple(row.collect()[0]) == ("zh-tw", "zh-cn")
 
 
 def test_dense_plans_agree(spark):
@@ -96,8 +245,8 @@ def test_evaluation(spark):
     assert sorted(r["score"] for r in graded.collect()) == [0.0, 0.0, 0.5, 1.0]
     lines = [r["line"] for r in evaluate.report_lines(graded).orderBy("no").collect()]
     assert lines == [
-        "LANGUAGE: EN", "Key: a (Avg: 0.7500)", "  - [Score: 1     ] Query: x", "  - [Score: 0.5   ] Query: y", "Key: b (Avg: 0.0000)",
-        "  - [Score: 0     ] Query: w", "  - [Score: 0     ] Query: z", ">> TOTAL AVERAGE FOR EN: 0.3750",
+        "LANGUAGE: EN", "-" * 42, "Key: a (Avg: 0.7500)", "  - [Score: 1     ] Query: x", "  - [Score: 0.5   ] Query: y", "", "Key: b (Avg: 0.0000)",
+        "  - [Score: 0     ] Query: w", "  - [Score: 0     ] Query: z", "", ">> TOTAL AVERAGE FOR EN: 0.3750", "=" * 42, "",
     ]
     with pytest.raises(ValueError):
         evaluate.require_index(ranked.limit(0))
