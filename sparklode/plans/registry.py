@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lang, segment, text, vector
 from ..operators import assemble, bm25, dense, evaluate, tfidf
+from ..runtime import ship
 from ..sources import corpus as source
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -39,6 +40,7 @@ def query(sql: str | None = None):
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
