@@ -200,6 +200,33 @@ def test_shards(spark, odd, crowded, none, tmp_path):
     assert sorted(r["text"] or "" for r in back.collect()) == sorted(r["text"] or "" for r in odd.collect())
 
 
+def test_shards_prune_on_every_dimension_and_keep_equal_texts_together(spark):
+    rnd = random.Random(12)
+    rows = [(i, prose(rnd, rnd.choice([5, 40, 300])), rnd.choice("abcd"), f"s{rnd.randrange(30):02}") for i in range(1500)]
+    rows += [(1500 + i, rows[7][1], rnd.choice("abcd"), f"s{i % 30:02}") for i in range(60)] + [(1600, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(4)
+    found = hilbert_shards.assign(docs, 40).drop("size").join(docs.select("doc_id", "lang", "source", F.length("text").alias("size")), "doc_id")
+    spans = found.groupBy("shard").agg(*[f(c).alias(f"{f.__name__}_{c}") for c in ("lang", "source", "size") for f in (F.min, F.max)]).collect()
+    # Shares of files that statistics leave to be read for one value; rows in no order leave nearly all.
+    for column, value, most in (("lang", "b", 0.7), ("source", "s11", 0.5), ("size", 15, 0.7)):
+        read = sum(r[f"min_{column}"] is not None and r[f"min_{column}"] <= value <= r[f"max_{column}"] for r in spans) / 40
+        assert 0 < read <= most, (column, read)
+    copies = sorted((r["shard"], r["slot"]) for r in found.join(docs.where(F.col("text") == rows[7][1]).select("doc_id"), "doc_id").collect())
+    assert len(copies) == 61 and len({s for s, _ in copies}) <= 3
+    for s in {s for s, _ in copies}:
+        slots = [k for t, k in copies if t == s]
+        assert slots == list(range(slots[0], slots[0] + len(slots)))
+    full = (r["min_source"] for r in spans)
+    assert hilbert_shards.bounds(docs, "source")[0] == ("s00", 1) and len(set(full)) > 5
+
+
+def test_written_shards_replace_a_column_of_that_name(spark, tmp_path):
+    docs = spark.createDataFrame([(i, "x" * i, "en", "s", "own", 5) for i in range(9)], "doc_id long, text string, lang string, source string, shard string, `a.b` int")
+    hilbert_shards.write_shards(docs, str(tmp_path / "out"), 3)
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert back.count() == 9 and sorted(back.columns) == sorted(docs.columns) and {r["shard"] for r in back.collect()} == {0, 1, 2}
+
+
 def test_url_rules(spark):
     urls = [
         ("http://a.NET/x", "a.net", "/x", "net/", "block"), ("http://net/", "net", "/", "net/", "block"), ("http://a.net", "a.net", "", None, "allow"),
