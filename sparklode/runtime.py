@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 
@@ -22,12 +24,13 @@ def ship(spark: SparkSession) -> None:
         if os.path.dirname(root) not in paths:
             env["PYTHONPATH"] = os.pathsep.join([*paths, os.path.dirname(root)])
         return
-    # The context copies the file and serves it to the executors.
-    with tempfile.TemporaryDirectory() as folder:
-        name = os.path.join(folder, "sparklode.zip")
-        with zipfile.ZipFile(name, "w", zipfile.ZIP_DEFLATED) as out:
-            for at, _, files in os.walk(root):
-                for f in files:
-                    if f.endswith(".py"):
-                        out.write(os.path.join(at, f), os.path.relpath(os.path.join(at, f), os.path.dirname(root)))
-        sc.addPyFile(name)
+    # The driver serves this file to the executors for as long as it runs.
+    folder = tempfile.mkdtemp(prefix="sparklode-")
+    atexit.register(shutil.rmtree, folder, True)
+    name = os.path.join(folder, "sparklode.zip")
+    with zipfile.ZipFile(name, "w", zipfile.ZIP_DEFLATED) as out:
+        for at, _, files in os.walk(root):
+            for f in files:
+                if f.endswith(".py"):
+                    out.write(os.path.join(at, f), os.path.relpath(os.path.join(at, f), os.path.dirname(root)))
+    sc.addPyFile(name)
