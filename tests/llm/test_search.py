@@ -122,7 +122,7 @@ def brute_search(rows, k):
     return out
 
 
-@pytest.mark.parametrize("changes", [{}, {"SHARD": 40, "BLOCK": 4, "QUERY_TERMS": 300, "FIRST": 1, "WIDTH": 2}])
+@pytest.mark.parametrize("changes", [{}, {"SHARD": 40, "BLOCK": 4, "QUERY_TERMS": 300, "FIRST": 1, "WIDTH": 2, "FREQUENT": 8, "COLUMNS": 5, "TOGETHER": 3}])
 def test_top_k_equals_brute_force(spark, monkeypatch, changes):
     for name, value in changes.items():
         monkeypatch.setattr(topk_search, name, value)
@@ -143,17 +143,21 @@ def test_pivots_skip_blocks():
     """A shard of which one block can win is not evaluated elsewhere, and gives what evaluating all gives."""
     rng = np.random.default_rng(2)
     docs, words = 640, 30
-    tf = rng.poisson(0.15, (words, docs))
+    tf = rng.poisson(np.linspace(0.3, 0.01, words)[:, None], (words, docs))
     tf[:, 320:330] += 9
     word, doc = np.nonzero(tf)
     row = [np.arange(docs), np.full(docs, 40), np.arange(words).astype(np.uint64), np.append(0, np.cumsum(np.bincount(word, minlength=words))), doc.astype(np.uint16), tf[word, doc].astype(np.uint32)]
     shard = topk_search.Shard([x.tobytes() for x in row], 40.0)
+    assert 0 < len(shard.columns) < words  # some words are frequent, some are not
     seen, whole = [], topk_search.Shard.evaluate
-    shard.evaluate = lambda entries, *rest: seen.append(set(shard.block[entries].tolist())) or whole(shard, entries, *rest)
+    shard.evaluate = lambda entries, weight, merged, chosen, *rest: seen.append(set(chosen.tolist())) or whole(shard, entries, weight, merged, chosen, *rest)
     none = (np.zeros(0), np.zeros(0, np.int64))
-    found = shard.search(np.arange(words), np.linspace(3, 1, words), 5, none)
-    every = whole(shard, np.arange(len(shard.block)), np.repeat(np.linspace(3, 1, words), np.diff(shard.entry)), 5, none)
-    assert (found[0] == every[0]).all() and (found[1] == every[1]).all()
+    asked = (np.arange(words), np.linspace(3, 1, words))
+    found = shard.search(*asked, shard.merged([asked])[0], 5, none)
+    part = tf * 2.2 / (tf + 1.2)
+    scores = np.round(asked[1] @ part, 6)
+    every = np.lexsort((np.arange(docs), -scores))[:5]
+    assert found[1].tolist() == every.tolist() and (found[0] == scores[every]).all()
     assert 5 in set().union(*seen) and len(set().union(*seen)) < shard.blocks
     assert sum(map(len, seen)) == len(set().union(*seen))
 
