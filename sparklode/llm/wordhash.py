@@ -73,7 +73,7 @@ class Batch:
         kind[ends] = 0
         edge = np.flatnonzero(kind[1:] != kind[:-1]) + 1
         if apart and len(more := unspaced(self.data)):
-            edge = np.union1d(edge, more)
+            edge = np.union1d(edge, more[more > 0])
         bounds = np.concatenate([[0], edge, [len(kind)]])
         token = kind[bounds[:-1]] > 0
         self.starts, self.ends = bounds[:-1][token], bounds[1:][token]

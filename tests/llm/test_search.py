@@ -77,6 +77,28 @@ def test_short_and_changed_items_equal_brute_force(spark):
     assert found == wanted
 
 
+def test_short_items_and_scripts_without_spaces(spark):
+    rnd = random.Random(5)
+    han = ["".join(chr(0x4E00 + rnd.randrange(3000)) for _ in range(60)) for _ in range(6)]
+    items = [(0, "what is it"), (1, han[0][:30] + "。" + han[0][30:45] + "。"), (2, "ภาษาไทยไม่มีช่องว่างระหว่างคำ"), (3, "一二三"), (4, "…")]
+    docs = [
+        (0, "What is it?"), (1, "what is it for"), (2, han[1] + "，" + han[0][:45] + han[2]), (3, han[3] + han[4]), (4, han[1][:20] + han[0][:20] + "的" + han[0][21:45] + han[5][:9]),
+        (5, "ดี ภาษาไทยไม่มีช่องว่างระหว่างคำ ครับ"), (6, "一二三"), (7, "一二三四"), (8, ""), (9, None),
+    ]
+    found = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r["doc_id"], r["item_id"]) for r in found.collect()} == {(0, 0), (2, 1), (4, 1), (5, 2), (6, 3)}
+
+
+def test_characters_without_spaces_are_words_of_their_own():
+    from sparklode.llm.wordhash import Batch
+
+    text = "ab日本x 𠀀y ไท"
+    b = Batch([text.encode(), "漢".encode()], decontaminate.WORDS, lower=True, apart=True)
+    data = b.data.tobytes()
+    assert [data[i:j].decode() for i, j in zip(b.starts, b.ends, strict=True)] == ["ab", "日", "本", "x", "𠀀", "y", "ไ", "ท", "漢"]
+    assert b.count.tolist() == [8, 1]
+
+
 def test_singular_vectors_of_a_low_rank_matrix():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(60, 5)) @ rng.normal(size=(5, decontaminate.BUCKETS))
