@@ -3,6 +3,12 @@
 Every stage takes (spark, docs, sf_dir) and works on all that its predecessor
 kept; its result is written as Parquet to the shared folder and reread. All but
 the last return the columns of documents; the last one the token ids.
+
+Edge cases: an empty table stays empty through all stages. Null and empty texts
+are judged by the classifiers like any text, are nobody's copy, hold no
+benchmark item and have no tokens; rows without an id, and rows of one id with
+unlike texts, are documents of their own. Texts of any length are read whole,
+and further columns are passed through to the last stage.
 """
 
 from __future__ import annotations
