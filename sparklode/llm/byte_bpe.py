@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .pretokens import Pieces, ragged, spread
+from .pretokens import Pieces, ragged, spread, tokenizer_file
 
 #: Entries of a worker's memo of merged pre-tokens; it is emptied when full.
 MEMO = 600_000
@@ -154,7 +154,7 @@ class Codec:
     """Encodes and decodes by the ranks of a file of ``base64 rank`` lines."""
 
     def __init__(self, path: str):
-        with open(path, "rb") as lines:
+        with open(tokenizer_file(path), "rb") as lines:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         keys = list(self.ranks)
         self.ids = np.fromiter(self.ranks.values(), np.int64, len(keys))

@@ -9,11 +9,13 @@ the standard engine matches twice as fast.
 
 from __future__ import annotations
 
+import os
 import re
 import unicodedata
 from itertools import chain
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import regex
 
@@ -56,6 +58,11 @@ def split(text: str) -> list[str]:
     return _any(text) if _beyond(text) else _western(text)
 
 
+def tokenizer_file(path: str) -> str:
+    """A vocabulary file where this process has it: at its path, or where its package lies here."""
+    return path if os.path.exists(path) else public_tokenizers.path(os.path.basename(path))
+
+
 class Pieces:
     """The different pre-tokens of a batch of texts and where they stand.
 

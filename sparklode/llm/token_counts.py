@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .byte_bpe import blocks
-from .pretokens import Pieces, by_row, ragged
+from .pretokens import Pieces, by_row, ragged, tokenizer_file
 
 #: Symbols of pre-tokens that are merged in one array.
 SYMBOLS = 1 << 18
@@ -50,7 +50,7 @@ class Merges:
     """The merges of a tokenizer file, as sorted pair keys."""
 
     def __init__(self, path: str):
-        with open(path, encoding="utf-8") as f:
+        with open(tokenizer_file(path), encoding="utf-8") as f:
             spec = json.load(f)
         vocab = spec["model"]["vocab"]
         self.byte_id = np.zeros(256, np.int64)
@@ -64,10 +64,11 @@ class Merges:
         self.made = np.array([vocab[a + b] for a, b in pairs], np.int64)
         # A table over hashed pairs finds ranks without a search per pair.
         self.none = len(pairs)
-        self.table_bits = 20
+        self.table_bits = max(12, (16 * len(pairs)).bit_length())  # a sixteenth full at most
         self._index()
         specials = sorted((t["content"] for t in spec.get("added_tokens", ())), key=len, reverse=True)
         self.special = re.compile("|".join(map(re.escape, specials))) if specials else None
+        self.marks = {x[0] for x in specials}
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.table_bits)).astype(np.int64)
@@ -169,7 +170,7 @@ class Merges:
         parts, owner = [], []
         for i, t in enumerate(texts):
             cut = [t]
-            if self.special and "<" in t:
+            if any(c in t for c in self.marks):
                 cut = self.special.split(t)
                 extra[i] = len(cut) - 1
             parts += cut

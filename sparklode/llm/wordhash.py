@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text hashed at once.
-BLOCK = 2_000_000
+BLOCK = 1_000_000
 
 _POINT = np.uint64(0x9DDFEA08EB382D69)
 _POINT_INVERSE = np.uint64(pow(int(_POINT), -1, 1 << 64))
