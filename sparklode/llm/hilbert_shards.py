@@ -119,9 +119,9 @@ def ordered(docs: DataFrame, carry: bool = False) -> DataFrame:
         _cell(docs, "source").alias("__b"),
         log_size.alias("__c"), *more,
     ).select("doc_id", "size", "text_crc32", "same", _curve("__a", "__b", "__c").alias("curve"), *more)
-    # Groups of equal texts, counted where they are read first.
-    groups = rows.groupBy("same").agg(F.min("curve").alias("__least"), F.count("*").alias("__n")).where("__n > 1").select("same", "__least")
-    rows = rows.join(groups, "same", "left").withColumn("curve", F.coalesce("__least", "curve")).drop("__least")
+    # Groups of equal texts, counted where they are read first; stored, so that the join is one of two plain tables, which Spark splits where a group is large.
+    groups = rows.select("same", "curve").groupBy("same").agg(F.min("curve").alias("__least"), F.count("*").alias("__n")).where("__n > 1").select("same", "__least")
+    rows = rows.join(stored(groups, "equal"), "same", "left").withColumn("curve", F.coalesce("__least", "curve")).drop("__least")
     keys = ["curve", "same", "text_crc32", "size", "doc_id"]
     placed = stored(
         rows.repartitionByRange(*keys)
