@@ -28,7 +28,7 @@ def test_quality_on_held_out_rows(spark):
 @tables
 def test_toxicity_on_held_out_rows(spark):
     rows = held_out_rows(spark, queries.op4_toxicity(spark, SF), "toxic")
-    assert rows.loc[rows["toxic"] == 1, "predicted"].mean() > 0.87
+    assert rows.loc[rows["toxic"] == 1, "predicted"].mean() >= 0.9
     assert rows.loc[rows["toxic"] == 0, "predicted"].mean() < 0.02
 
 
