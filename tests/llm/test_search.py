@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparklode.llm import decontaminate, hilbert_shards, topk_search, url_filters
+from sparklode.llm.pretokens import spread
 
 
 def prose(rnd, n):
@@ -161,7 +162,7 @@ def test_top_k_equals_brute_force(spark, monkeypatch, changes):
         assert [s for _, s in found[q]] == pytest.approx([s for _, s in x])
 
 
-def test_pivots_skip_blocks():
+def test_pivots_skip_blocks(monkeypatch):
     """A shard of which one block can win is not evaluated elsewhere, and gives what evaluating all gives."""
     rng = np.random.default_rng(2)
     docs, words = 640, 30
@@ -171,17 +172,19 @@ def test_pivots_skip_blocks():
     row = [np.arange(docs), np.full(docs, 40), np.arange(words).astype(np.uint64), np.append(0, np.cumsum(np.bincount(word, minlength=words))), doc.astype(np.uint16), tf[word, doc].astype(np.uint32)]
     shard = topk_search.Shard([x.tobytes() for x in row], 40.0)
     assert 0 < len(shard.columns) < words  # some words are frequent, some are not
-    seen, whole = [], topk_search.Shard.evaluate
-    shard.evaluate = lambda entries, weight, merged, chosen, *rest: seen.append(set(chosen.tolist())) or whole(shard, entries, weight, merged, chosen, *rest)
-    none = (np.zeros(0), np.zeros(0, np.int64))
-    asked = (np.arange(words), np.linspace(3, 1, words))
-    found = shard.search(*asked, shard.merged([asked])[0], 5, none)
+    asked = [(np.arange(words), np.linspace(3, 1, words)), (np.arange(0, words, 3), np.ones(10)), (np.arange(words - 1, words), np.ones(1))]
+    best = topk_search.Best(np.array([7, 8, 9]), 5)
+    read = []
+    monkeypatch.setattr(topk_search, "spread", lambda starts, sizes: read.append(int(sizes.sum())) or spread(starts, sizes))
+    shard.search(np.repeat(np.arange(3), [len(w) for w, _ in asked]), np.concatenate([w for w, _ in asked]), np.concatenate([x for _, x in asked]), best)
     part = tf * 2.2 / (tf + 1.2)
-    scores = np.round(asked[1] @ part, 6)
-    every = np.lexsort((np.arange(docs), -scores))[:5]
-    assert found[1].tolist() == every.tolist() and (found[0] == scores[every]).all()
-    assert 5 in set().union(*seen) and len(set().union(*seen)) < shard.blocks
-    assert sum(map(len, seen)) == len(set().union(*seen))
+    for q, (word, weight) in enumerate(asked):
+        scores = np.round(weight @ part[word], 6)
+        every = np.lexsort((np.arange(docs), -scores))[:5]
+        every = every[scores[every] > 0]
+        assert best.doc[best.query == q].tolist() == every.tolist() and best.score[best.query == q] == pytest.approx(scores[every], abs=1e-9)
+    postings = sum(shard.run_size[shard.entry[x] : shard.entry[x + 1]].sum() for w, _ in asked for x in w)
+    assert 0 < sum(read[1:]) < postings  # the first reads entries, the others the postings of evaluated blocks
 
 
 def test_top_k_equals_sql(spark):
