@@ -332,3 +332,33 @@ def test_a_shard_below_the_carried_score_evaluates_nothing(spark, monkeypatch):
     best.least[:] = 100.0
     shard.search(query, word, weight, best)
     assert found and evaluated > 1 and len(calls) == 1  # the bounds alone
+
+
+def test_queries_of_a_word_go_together():
+    import pandas as pd
+
+    rows = pd.DataFrame([(q, t, w) for q in range(6) for t, w in ((q % 2, 0.5), (10 + q, 3.0))], columns=["query_id", "term", "w"])
+    ids, first, words, at, w = topk_search.packed(rows.sample(frac=1, random_state=1))
+    assert ids.tolist() == [0, 2, 4, 1, 3, 5] and first.tolist() == [0, 2, 4, 6, 8, 10, 12]
+    for i, q in enumerate(ids.tolist()):
+        own = slice(first[i], first[i + 1])
+        assert words[at[own]].tolist() == [q % 2, 10 + q] and w[own].tolist() == [0.5, 3.0]
+
+
+def test_frequent_words_are_summed_in_double_precision(monkeypatch):
+    """Scores whose difference single precision cannot tell keep their order, and few documents are summed."""
+    monkeypatch.setattr(topk_search, "SUMMED", 50)
+    docs, words = 400, 20
+    rng = np.random.default_rng(4)
+    tf = rng.integers(1, 4, (words, docs))
+    row = [np.arange(docs), np.full(docs, 40), np.arange(words).astype(np.uint64), np.arange(words + 1) * docs, np.tile(np.arange(docs), words).astype(np.uint16), tf.ravel().astype(np.uint32)]
+    shard = topk_search.Shard([x.tobytes() for x in row], 40.0)
+    assert len(shard.columns) == words and shard.columns.dtype == np.float32
+    weight = 1000 + rng.integers(0, 9, words) * 1e-5
+    best, summed = topk_search.Best(np.array([3]), 10), []
+    monkeypatch.setattr(shard, "exactly", lambda w, q, d, f=shard.exactly: summed.append(len(d)) or f(w, q, d))
+    shard.search(np.zeros(words, np.int64), np.arange(words), weight, best)
+    scores = np.round(weight @ (tf * 2.2 / (tf + 1.2)), 6)
+    every = np.lexsort((np.arange(docs), -scores))[:10]
+    assert best.doc.tolist() == every.tolist() and best.score == pytest.approx(scores[every], abs=2e-6)
+    assert 10 <= sum(summed) < docs
