@@ -56,10 +56,13 @@ from pyspark.sql import functions as F
 
 from .common import discard, stored
 from .components import connected, joined
+from .pretokens import ragged
 from .wordhash import SPACES, Batch, blocks, mix
 
 #: Texts with a shingle from which on it is heavy, and the number of heavy ones kept in order.
 HEAVY, MAX_HEAVY = 16, 1 << 19
+#: Ranges of hashes in which shingles are counted.
+PARTS = 4096
 #: No set above this size enumerates subsets, whatever the costs.
 LARGEST_SMALL = 16
 #: Listed sets of a key that go to one task; more are salted.
@@ -181,15 +184,23 @@ def describe(docs: DataFrame, rule: Rule) -> DataFrame:
     return rows.mapInArrow(run, "id long, row long, said long, cls long, n long, sketch binary")
 
 
-def count_shingles(docs: DataFrame, rule: Rule) -> DataFrame:
-    """(shingle, n): how often each shingle stands in the classes, counted once in a run of texts."""
+def count_shingles(docs: DataFrame, rule: Rule, least: int = 1) -> DataFrame:
+    """(shingle, n): how often each shingle stands in the classes, counted once in a run of texts; those of ``least`` or more.
+
+    Shingles go from task to task as arrays, a row for each of ``PARTS`` ranges of hashes and run.
+    """
+    edges = np.array([(i << 64) // PARTS for i in range(1, PARTS)], np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, seen = [], 0, set()
 
         def counted() -> pa.RecordBatch:
             keys, n = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], names=["shingle", "n"])
+            at = np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]])
+            part = np.flatnonzero(np.diff(at))
+            at = np.append(at[part], len(keys))
+            columns = [pa.Array.from_buffers(pa.binary(), len(part), [None, pa.py_buffer((at * x.itemsize).astype(np.int32)), pa.py_buffer(x)]) for x in (keys, n.astype(np.uint32))]
+            return pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), *columns], names=["part", "keys", "counts"])
 
         for batch in batches:
             for _, part in blocks(batch.column(0)):
@@ -205,9 +216,34 @@ def count_shingles(docs: DataFrame, rule: Rule) -> DataFrame:
         if held:
             yield counted()
 
-    # Counts within a task are summed already, so the rows are dealt out first.
-    found = docs.select("text").mapInArrow(run, "shingle long, n long")
-    return found.repartition("shingle").groupBy("shingle").agg(F.sum("n").alias("n"))
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = -1, []
+
+        def summed() -> pa.RecordBatch:
+            keys, n = (np.concatenate(x) for x in zip(*held, strict=True))
+            each, total = np.unique(keys, return_counts=True)
+            more = n > 1  # few are in a run
+            total = total + np.bincount(np.searchsorted(each, keys[more]), weights=n[more] - 1.0, minlength=len(each)).astype(np.int64)
+            keep = total >= least
+            return pa.RecordBatch.from_arrays([pa.array(each[keep].view(np.int64)), pa.array(total[keep])], names=["shingle", "n"])
+
+        for batch in batches:
+            parts = batch.column(0).to_numpy()
+            if not len(parts):
+                continue
+            (keys, key), (counts, count) = (ragged(batch.column(c).cast(pa.large_binary())) for c in (1, 2))
+            edge = np.concatenate([[0], np.flatnonzero(parts[1:] != parts[:-1]) + 1, [len(parts)]]).tolist()
+            for a, b in zip(edge[:-1], edge[1:], strict=True):
+                if held and parts[a] != at:
+                    yield summed()
+                    held.clear()
+                at = parts[a]
+                held.append((keys[key[a] : key[b]].view(np.uint64), counts[count[a] : count[b]].view(np.uint32)))
+        if held:
+            yield summed()
+
+    found = docs.select("text").mapInArrow(run, "part int, keys binary, counts binary")
+    return found.repartition("part").sortWithinPartitions("part").mapInArrow(add, "shingle long, n long")
 
 
 @dataclass
@@ -262,7 +298,7 @@ def met_in_lists(singles: float, repeated: list[tuple[float, float]], rule: Rule
 
 def heavy_order(docs: DataFrame, described: DataFrame, rule: Rule) -> Order:
     """The heavy shingles of the corpus (the MAX_HEAVY most frequent) and the boundary that its list lengths give."""
-    counted = stored(count_shingles(docs, rule).where("n > 1"), "frequencies")
+    counted = stored(count_shingles(docs, rule, 2), "frequencies")
     found = counted.where(F.col("n") >= HEAVY).orderBy(F.desc("n"), "shingle").limit(MAX_HEAVY).toPandas()
     # A row for each power of two.
     repeated = [(r["shingles"], r["standings"]) for r in counted.groupBy(F.floor(F.log2("n"))).agg(F.count("*").alias("shingles"), F.sum("n").alias("standings")).collect()]

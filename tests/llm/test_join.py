@@ -121,6 +121,23 @@ def test_every_repeated_shingle_is_counted(spark):
     assert counted[-1] == 40 and set(counted[:-1]) == {1}
 
 
+@pytest.mark.parametrize("parts", [1, 4, ngram_join.PARTS])
+def test_shingles_are_counted_in_ranges(spark, monkeypatch, parts):
+    monkeypatch.setattr(ngram_join, "PARTS", parts)
+    rows = corpus(3)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    wanted = {}
+    for texts in docs.select("text").rdd.glom().collect():  # once a class and task
+        for s in {s.tobytes(): s for s in ngram_join.shingle_sets([(r["text"] or "").encode() for r in texts], Rule())}.values():
+            for x in s.view("int64").tolist():
+                wanted[x] = wanted.get(x, 0) + 1
+    repeated = {x: n for x, n in wanted.items() if n > 1}
+    assert 0 < len(repeated) < len(wanted) and max(repeated.values()) > 5  # in more than one task
+    found = ngram_join.count_shingles(docs, Rule(), 2).collect()
+    assert len(found) == len(repeated) and {r["shingle"]: r["n"] for r in found} == repeated
+    assert len(ngram_join.count_shingles(docs, Rule()).collect()) == len(wanted)
+
+
 def test_lists_of_prefixes():
     rule = Rule()
     assert ngram_join.met_in_lists(100.0, [], rule) == 0
