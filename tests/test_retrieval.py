@@ -307,3 +307,30 @@ def test_serving(spark, index, tmp_path):
     asked = spark.readStream.schema("query_id long, text string").json(str(tmp_path / "in"))
     serve(asked, lambda q: bm25.search(index, q, F.col("text"), 2), str(tmp_path / "out"), str(tmp_path / "state"), once=True).awaitTermination()
     assert {r["ord"] for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {0, 1}
+
+
+def by_hand(a, b):
+    """A dot product as SQL has it, None without one."""
+    return None if a is None or b is None or None in (*a, *b) or len(a) != len(b) else sum(float(x) * float(y) for x, y in zip(a, b, strict=True))
+
+
+ODD_VECTORS = [[0.5, -1.0, 2.0], None, [1.0, None, 2.0], [1.0, 2.0], [float("nan"), 1.0, 0.0], [2.0**-8, 0.0, 0.0], [0.0, 0.0, 0.0], [float("inf"), 1.0, 1.0]]
+
+
+def test_pair_scores_are_matrix_products(spark, monkeypatch):
+    monkeypatch.setattr(dense, "QUERY_BLOCK", 3)
+    monkeypatch.setattr(dense, "SLICE", 2)
+    rows = list(enumerate(ODD_VECTORS))
+    chunks, asked = spark.createDataFrame(rows, "no int, vec array<float>").coalesce(1), spark.createDataFrame(rows, "query_id long, vec array<float>")
+    found = dense.pair_scores(asked, chunks, "no")
+    assert found.dtypes == [("query_id", "bigint"), ("no", "int"), ("score", "double")]
+    assert "Join" not in found._jdf.queryExecution().toString()  # pairs are not rows before they are scores
+    assert dense.dealt(chunks).rdd.getNumPartitions() > 4  # one file does not make one task
+    got = {(r["query_id"], r["no"]): r["score"] for r in found.collect()}
+    assert len(got) == len(rows) ** 2
+    for q, a in rows:
+        for n, b in rows:
+            want = by_hand(a, b)
+            assert got[q, n] is None if want is None else got[q, n] == pytest.approx(want, abs=6e-7, nan_ok=True), (q, n)
+    assert got[5, 5] == 0.000015 and str(got[6, 0]) == "0.0"
+    assert dense.pair_scores(asked.limit(0), chunks, "no").count() == 0
