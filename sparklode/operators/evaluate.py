@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.ranking import graded
 
@@ -30,6 +32,12 @@ def macro_means(means: DataFrame) -> DataFrame:
     return means.groupBy("lang").agg(F.avg("avg_score").alias("total_avg"))
 
 
+@F.pandas_udf(T.StringType())
+def four_places(x: pd.Series) -> pd.Series:
+    """As C and SQL print a double: from its exact binary value, which the JVM's formatter replaces by its shortest digits."""
+    return x.map(lambda v: None if pd.isna(v) else f"{v:.4f}")
+
+
 # The rules of the report.
 DOUBLE, SINGLE = "=" * 42, "-" * 42
 
@@ -37,7 +45,6 @@ DOUBLE, SINGLE = "=" * 42, "-" * 42
 def report_lines(graded_cases: DataFrame) -> DataFrame:
     """(lang, no, line): heading, keys with their queries, the language's total, with rules and blank lines, in order."""
     means = key_means(graded_cases)
-    four = lambda c: F.format_string("%.4f", c)
     name = F.upper("lang")
     # JavaScript prints 1.0 as 1; scores are powers of two or 0.
     shown = F.regexp_replace(F.regexp_replace(F.format_string("%.4f", F.col("score")), "0+$", ""), r"\.$", "")
@@ -52,10 +59,10 @@ def report_lines(graded_cases: DataFrame) -> DataFrame:
     every = (
         rows(langs, 0, 0, F.concat(F.lit("LANGUAGE: "), name))
         .union(rows(langs, 0, 1, F.lit(SINGLE)))
-        .union(rows(means, 1, 0, F.concat(F.lit("Key: "), "key", F.lit(" (Avg: "), four(F.col("avg_score")), F.lit(")")), "key"))
+        .union(rows(means, 1, 0, F.concat(F.lit("Key: "), "key", F.lit(" (Avg: "), four_places(F.col("avg_score")), F.lit(")")), "key"))
         .union(rows(graded_cases, 1, 1, F.concat(F.lit("  - [Score: "), padded, F.lit("] Query: "), "query"), "key", "query"))
         .union(rows(means, 1, 2, F.lit(""), "key"))
-        .union(rows(totals, 2, 0, F.concat(F.lit(">> TOTAL AVERAGE FOR "), name, F.lit(": "), four(F.col("total_avg")))))
+        .union(rows(totals, 2, 0, F.concat(F.lit(">> TOTAL AVERAGE FOR "), name, F.lit(": "), four_places(F.col("total_avg")))))
         .union(rows(langs, 2, 1, F.lit(DOUBLE)))
         .union(rows(langs, 2, 2, F.lit("")))
     )

@@ -2,6 +2,7 @@
 
 import json
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -351,3 +352,14 @@ def test_best_chunks_are_found_by_matrix_products(spark, monkeypatch):
         got = sorted((r["rank"], r["ord"], r["score"]) for r in found.where(F.col("query_id") == q).collect())
         assert [o for _, o, _ in got] == want, q
         assert [s for *_, s in got] == pytest.approx([best[o] for o in want], abs=2e-6, nan_ok=True)
+
+
+def test_report_prints_means_as_sql(spark):
+    # Means of 0.03125 (a tie: to even), 0.56875 (below it in binary) and 0.00625 (above it); the total is their mean.
+    rows = [("a", s) for s in [0.0625, 0.0]] + [("b", s) for s in [1.0] * 4 + [0.5] * 3 + [0.125, 0.0625, 0.0]] + [("c", s) for s in [0.0625] + [0.0] * 9]
+    cases = spark.createDataFrame([("en", key, f"q{i}", s) for i, (key, s) in enumerate(rows)], "lang string, key string, query string, score double")
+    lines = [r["line"] for r in evaluate.report_lines(cases).orderBy("no").collect()]
+    means = {key: sum(s for k, s in rows if k == key) / sum(k == key for k, _ in rows) for key in "abc"}
+    shown = [m for m in lines if m.startswith("Key: ")]
+    assert shown == duckdb.sql("SELECT list('Key: ' || k || ' (Avg: ' || printf('%.4f', a) || ')' ORDER BY k) FROM (VALUES " + ", ".join(f"('{k}', {a!r}::DOUBLE)" for k, a in means.items()) + ") v(k, a)").fetchall()[0][0]
+    assert shown[0] == "Key: a (Avg: 0.0312)"
