@@ -6,8 +6,8 @@ idf = ln(1 + (N - df + 0.5) / (df + 0.5)).
 
 Two passes over the documents, and no shuffle of tokens: one counts what the
 queries' words need (n, total length, document frequencies), the other scores
-every document where it is read, in Arrow batches, and keeps the best k of a
-task. The queries' words are sent to the tasks up to ``BROADCAST_TERMS`` rows;
+every document where it is read, in slices of Arrow batches that bound the memory,
+and keeps the best k of a task. The queries' words are sent to the tasks up to ``BROADCAST_TERMS`` rows;
 beyond that postings and words are joined instead.
 """
 
@@ -23,14 +23,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ranking import top_k
-from ..functions.text import lexical_tokens
+from ..functions.text import lexical_lists, lexical_tokens
 from ..sources.corpus import has_snippets
 
 K1, B = 1.5, 0.75
 #: Rows (query, word) of queries that are sent to the tasks.
 BROADCAST_TERMS = 200_000
-#: Cells (query, document) that are scored at once.
-CELLS = 2_000_000
+#: Cells (query, document) that are scored at once, (query, word, document) too, and tokens that are looked up at once.
+CELLS = 500_000
+#: Documents to which a search is restricted where they are read; more are restricted by a join of what was found.
+KNOWN = 2_000_000
 
 
 @dataclass
@@ -40,6 +42,13 @@ class Index:
     docs: DataFrame
     k1: float = K1
     b: float = B
+    #: (ord, text) to be cut into ``lexical_tokens`` where it is read, if that is the tokenizer
+    texts: DataFrame | None = None
+
+    @property
+    def source(self) -> DataFrame:
+        """(ord, tokens), or (ord, text), of which ``token_lists`` makes tokens."""
+        return self.docs.select("ord", "tokens") if self.texts is None else self.texts
 
     @property
     def stats(self) -> DataFrame:
@@ -65,7 +74,8 @@ def build(corpus: DataFrame, text: Column, tokenizer=lexical_tokens, k1: float =
     if snippets in corpus.columns:
         corpus = corpus.where(has_snippets(F.col(snippets)))
     docs = corpus.select(F.col("ord").cast("long").alias("ord"), tokenizer(text).alias("tokens"))
-    return Index(docs.withColumn("dl", F.size("tokens")), k1, b)
+    texts = corpus.select(F.col("ord").cast("long").alias("ord"), text.alias("text")) if tokenizer is lexical_tokens else None
+    return Index(docs.withColumn("dl", F.size("tokens")), k1, b, texts)
 
 
 def idf(n: Column, df: Column) -> Column:
@@ -90,26 +100,64 @@ def counts_of(tokens: pa.ListArray, words: pa.Array) -> tuple[np.ndarray, np.nda
     return cell // len(words), cell % len(words), times
 
 
+def token_lists(column: pa.Array) -> pa.ListArray:
+    """A column of token lists as it is, one of texts as the tokens that ``lexical_tokens`` makes of them."""
+    return lexical_lists(column) if pa.types.is_string(column.type) or pa.types.is_large_string(column.type) else column
+
+
+def pieces(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of about ``CELLS`` tokens or bytes of text, so that memory doesn't grow with the documents of a batch."""
+    size = pc.list_value_length if pa.types.is_list(batch.column(column).type) else pc.binary_length
+    turn = np.cumsum(pc.fill_null(size(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64) // CELLS
+    bounds = np.append(np.flatnonzero(np.append(True, turn[1:] != turn[:-1])) if len(turn) else 0, len(turn))
+    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        yield batch.slice(a, b - a)
+
+
+def sums(docs: int, doc: np.ndarray, word: np.ndarray, part: np.ndarray, first: np.ndarray, query: np.ndarray, w: np.ndarray, asked: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """(document, query, sum) of part * weight over the words they share, some documents at a time.
+
+    ``doc`` (sorted), ``word`` and ``part`` are the words of documents, ``query`` and ``w`` the queries of each word from ``first`` on; all parts and weights are positive.
+    """
+    times = (first[1:] - first[:-1])[word]
+    load = np.maximum(np.bincount(doc, weights=times, minlength=docs), asked)
+    turn = (np.cumsum(load) // CELLS).astype(np.int64)
+    bounds = np.append(np.flatnonzero(np.append(True, turn[1:] != turn[:-1])) if docs else 0, docs)
+    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        own = slice(*np.searchsorted(doc, [a, b]))
+        n = times[own]
+        pair = np.repeat(first[word[own]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        cell = np.repeat(doc[own] - a, n) * asked + query[pair]
+        found = np.bincount(cell, weights=np.repeat(part[own], n) * w[pair], minlength=(b - a) * asked)
+        hit = np.flatnonzero(found)
+        yield a + hit // asked, hit % asked, found[hit]
+
+
 def term_stats(docs: DataFrame, words: pa.Array) -> tuple[int, float, np.ndarray]:
-    """Documents, their total length and the document frequency of each of ``words``, in one pass."""
+    """Of an index's ``source``: documents, their total length and the document frequency of each of ``words``, in one pass."""
     shared = docs.sparkSession.sparkContext.broadcast(words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, total, df = 0, 0, np.zeros(len(shared.value), np.int64)
         for batch in batches:
             n += len(batch)
-            total += pc.sum(batch.column(1)).as_py() or 0
-            df += np.bincount(counts_of(batch.column(0), shared.value)[1], minlength=len(df)) if len(df) else 0
+            for piece in pieces(batch, 0):
+                tokens = token_lists(piece.column(0))
+                total += pc.sum(pc.list_value_length(tokens)).as_py() or 0
+                df += np.bincount(counts_of(tokens, shared.value)[1], minlength=len(df)) if len(df) else 0
         some = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(some, [-1, -2])), pa.array(np.append(df[some], [n, total]))], names=["no", "count"])
 
-    found = docs.select("tokens", "dl").mapInArrow(run, "no long, count long").groupBy("no").agg(F.sum("count").alias("count"))
+    found = docs.drop("ord").mapInArrow(run, "no long, count long").groupBy("no").agg(F.sum("count").alias("count"))
     counted = {r["no"]: r["count"] for r in found.collect()}  # a row for each word, BROADCAST_TERMS at most
     return counted.get(-1, 0), counted.get(-2, 0), np.array([counted.get(i, 0) for i in range(len(words))], np.int64)
 
 
-def scores(index: Index, terms: DataFrame, k: int | None = None) -> DataFrame:
-    """(query_id, ord, score) of all pairs that share a term, rounded to six places; with ``k`` the best k of each task at least."""
+def scores(index: Index, terms: DataFrame, k: int | None = None, known: DataFrame | None = None) -> DataFrame:
+    """(query_id, ord, score) of all pairs that share a term, rounded to six places; with ``k`` the best k of each task at least.
+
+    Only documents among ``known`` (ord), few enough to be sent to the tasks, are scored where they are read; statistics are of all documents.
+    """
     spark = index.docs.sparkSession
     # Up to the limit is read; if there is more, it isn't used.
     rows = terms.select(F.col("query_id").cast("long").alias("query_id"), "term", "qtf").limit(BROADCAST_TERMS + 1).toPandas()
@@ -117,7 +165,7 @@ def scores(index: Index, terms: DataFrame, k: int | None = None) -> DataFrame:
         return joined_scores(index, terms)
     names, no = np.unique(rows["term"].to_numpy(str), return_inverse=True) if len(rows) else (np.zeros(0, str), np.zeros(0, np.int64))
     words = pa.array(names.tolist(), pa.string())
-    n, total, df = term_stats(index.docs, words)
+    n, total, df = term_stats(index.source, words)
     ids, query = np.unique(rows["query_id"].to_numpy(np.int64), return_inverse=True)
     w = rows["qtf"].to_numpy(float) * np.log(1 + (n - df[no] + 0.5) / (df[no] + 0.5))
     # Words by number, each with its queries and their weights.
@@ -131,41 +179,40 @@ def scores(index: Index, terms: DataFrame, k: int | None = None) -> DataFrame:
         if not len(ids):
             return
         best = Best(len(ids), k) if k else None
-        step = max(1, CELLS // len(ids))
         for whole in batches:
-            for at in range(0, len(whole), step):
-                batch = whole.slice(at, step)
-                doc, word, tf = counts_of(batch.column(1), words)
-                dl = batch.column(2).to_numpy().astype(float)
+            for batch in pieces(whole, 1):
+                tokens = token_lists(batch.column(1))
+                doc, word, tf = counts_of(tokens, words)
+                dl = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False).astype(float)
                 part = tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl[doc] / max(mean, 1e-9)))
-                times = (first[1:] - first[:-1])[word]
-                pair = np.repeat(first[word] - (np.cumsum(times) - times), times) + np.arange(times.sum())
-                cell = np.repeat(doc, times) * len(ids) + query[pair]
-                found = np.bincount(cell, weights=np.repeat(part, times) * w[pair], minlength=len(batch) * len(ids))
-                hit = np.unique(cell)
-                row, q, score, ords = hit // len(ids), hit % len(ids), np.round(found[hit], 6), batch.column(0).to_numpy()
-                if best:
-                    best.add(q, ords[row], score)
-                else:
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(ords[row]), pa.array(score)], names=["query_id", "ord", "score"])
+                ords = batch.column(0).to_numpy()
+                for row, q, score in sums(len(batch), doc, word, part, first, query, w, len(ids)):
+                    score = np.round(score, 6)
+                    if best:
+                        best.add(q, ords[row], score)
+                    else:
+                        yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(ords[row]), pa.array(score)], names=["query_id", "ord", "score"])
         if best:
             q, ords, score = best.rows()
             yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(ords), pa.array(score)], names=["query_id", "ord", "score"])
 
-    return index.docs.select("ord", "tokens", "dl").mapInArrow(run, "query_id long, ord long, score double")
+    docs = index.source if known is None else index.source.join(F.broadcast(known), "ord", "left_semi")
+    return docs.mapInArrow(run, "query_id long, ord long, score double")
 
 
 class Best:
     """The best k (ord, score) of each query, ties by ord; rows are held until they are many and then cut."""
 
     def __init__(self, queries: int, k: int):
-        self.k, self.limit = k, max(1_000_000, 4 * queries * k)
+        self.k, self.limit = k, max(250_000, 4 * queries * k)
+        self.least = np.full(queries, -np.inf)  # the k-th score of each query so far
         self.held: list[tuple[np.ndarray, ...]] = []
         self.size = 0
 
     def add(self, query: np.ndarray, ords: np.ndarray, score: np.ndarray) -> None:
-        self.held.append((query, ords, score))
-        self.size += len(query)
+        able = score >= self.least[query]
+        self.held.append((query[able], ords[able], score[able]))
+        self.size += int(able.sum())
         if self.size > self.limit:
             self.rows()
 
@@ -179,8 +226,9 @@ class Best:
             query, ords, score = query[once], ords[once], score[once]
         by = np.lexsort((ords, -score, query))
         query, ords, score = query[by], ords[by], score[by]
-        start = np.searchsorted(query, query)
-        keep = np.arange(len(query)) - start < self.k
+        rank = np.arange(len(query)) - np.searchsorted(query, query)
+        keep, last = rank < self.k, rank == self.k - 1
+        self.least[query[last]] = score[last]
         self.held = [(query[keep], ords[keep], score[keep])]
         self.size = int(keep.sum())
         return self.held[0]
@@ -208,10 +256,13 @@ def search(index: Index, queries: DataFrame, text: Column, k: int = 10, tokenize
     order, as all documents have a score.
     """
     queries = queries.select("query_id", text.alias("__text"))
-    found = scores(index, query_tokens(queries, F.col("__text"), tokenizer), k if known is None else None)
-    docs = index.docs.select("ord")
-    if known is not None:
+    terms, docs = query_tokens(queries, F.col("__text"), tokenizer), index.docs.select("ord")
+    if known is None:
+        found = scores(index, terms, k)
+    else:
         known = known.select(F.col("ord").cast("long").alias("ord")).distinct()
+        few = known.limit(KNOWN + 1).count() <= KNOWN
+        found = scores(index, terms, k, known) if few else scores(index, terms)
         found, docs = found.join(known, "ord", "left_semi"), docs.join(known, "ord", "left_semi")
     # A query with m < k matches needs k - m others: they are among the first 2k documents.
     first = docs.orderBy("ord").limit(2 * k)

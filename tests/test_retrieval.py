@@ -4,12 +4,14 @@ import json
 
 import duckdb
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
 from sparklode.functions import lang, segment
 from sparklode.operators import assemble, bm25, dense, evaluate, tfidf
-from sparklode.plans import jobs
+from sparklode.plans import jobs, registry
 from sparklode.plans.registry import QUERIES, stub_encoder, stub_tokenizer
 from sparklode.sources import corpus as source
 from sparklode.streaming.serve import serve
@@ -363,3 +365,46 @@ def test_report_prints_means_as_sql(spark):
     shown = [m for m in lines if m.startswith("Key: ")]
     assert shown == duckdb.sql("SELECT list('Key: ' || k || ' (Avg: ' || printf('%.4f', a) || ')' ORDER BY k) FROM (VALUES " + ", ".join(f"('{k}', {a!r}::DOUBLE)" for k, a in means.items()) + ") v(k, a)").fetchall()[0][0]
     assert shown[0] == "Key: a (Avg: 0.0312)"
+
+
+ODD_TEXTS = ["", None, "Ünïcode Wörter und İstanbul K", "a1 B2\x00c3", "\ufb01ne x\u00b2 \uff21\uff22", "x" * 40 + " y", "画一个 box", "a  b\n\tc ", "éé é", "ß ẞ ſt ①"]
+
+
+def test_lexical_tokens_are_the_same_in_python(spark):
+    rows = spark.createDataFrame(list(enumerate(ODD_TEXTS)), "no int, text string").select("no", bm25.lexical_tokens(F.col("text")).alias("t")).orderBy("no").collect()
+    assert bm25.lexical_lists(pa.array(ODD_TEXTS)).to_pylist() == [r["t"] for r in rows]
+    assert bm25.lexical_lists(pa.array([], pa.string())).to_pylist() == []
+
+
+def test_scoring_is_bounded_whatever_the_batch(spark, monkeypatch):
+    """Slices of tokens and of cells, whatever the rows of a batch, and the same sums."""
+    lists = pa.array([["a"] * 5, [], None, ["b"] * 9, ["a", "b"]] * 20)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(100)), lists], names=["ord", "tokens"])
+    monkeypatch.setattr(bm25, "CELLS", 10)
+    cut = list(bm25.pieces(batch, 1))
+    assert pa.Table.from_batches(cut).equals(pa.Table.from_batches([batch])) and all(pc.sum(pc.list_value_length(p.column(1))).as_py() <= 19 for p in cut)
+    doc, word, tf = bm25.counts_of(lists, pa.array(["a", "b"]))
+    first, query, w = np.array([0, 3, 4]), np.array([0, 1, 2, 1]), np.array([1.0, 2.0, 3.0, 4.0])
+    parts = list(bm25.sums(100, doc, word, tf.astype(float), first, query, w, 3))
+    want = np.zeros((100, 3))
+    for d, n, f in zip(doc, word, tf, strict=True):
+        for i in range(first[n], first[n + 1]):
+            want[d, query[i]] += f * w[i]
+    got = np.zeros((100, 3))
+    for row, q, s in parts:
+        got[row, q] += s
+    assert np.allclose(got, want) and len(parts) > 10 and max(len(r) for r, *_ in parts) <= 12
+
+
+@pytest.mark.parametrize("known_limit", [2, 2_000_000])
+def test_known_documents_are_ranked_alone(spark, monkeypatch, known_limit):
+    monkeypatch.setattr(bm25, "KNOWN", known_limit)
+    docs = spark.createDataFrame([(i, f"draw box {'circle ' * (i % 4)}") for i in range(40)], "ord long, text string")
+    asked = spark.createDataFrame([(1, "draw circle"), (2, "nothing")], "query_id long, text string")
+    index, known = bm25.build(docs, F.col("text")), docs.where("ord % 3 = 0")
+    every = bm25.search(index, asked, F.col("text"), 40).where("ord % 3 = 0").orderBy("query_id", "rank").collect()
+    best = bm25.search(index, asked, F.col("text"), 5, known=known).orderBy("query_id", "rank").collect()
+    want = [r for q in (1, 2) for r in [e for e in every if e["query_id"] == q][:5]]
+    assert [(r["query_id"], r["ord"], r["score"]) for r in best] == [(r["query_id"], r["ord"], r["score"]) for r in want]
+    if known_limit > 2:  # what is shuffled is k rows of a task, no row for each pair
+        assert "LeftSemi" in bm25.scores(index, bm25.query_tokens(asked, F.col("text")), 5, known.select("ord"))._jdf.queryExecution().toString()
