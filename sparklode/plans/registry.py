@@ -12,11 +12,16 @@ import atexit
 import os
 import shutil
 import tempfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import lang, segment, text, vector
 from ..operators import assemble, bm25, dense, evaluate, tfidf
@@ -375,31 +380,49 @@ _GRADED = f"""WITH {_RANKED}, {_EXPECT}, g AS (SELECT x.item_id, x.expected, coa
   FROM x JOIN benchmark b USING (item_id) JOIN documents d ON d.doc_id = x.expected LEFT JOIN ranked r ON r.item_id = x.item_id AND r.doc_id = x.expected)"""
 
 
-def _holding(index: bm25.Index, docs: DataFrame, asked: DataFrame) -> DataFrame:
-    """(item_id, ord) of the documents that hold a query's text, found by its rarest word.
+#: Queries that are looked for at once, and characters from their middle by which texts are picked.
+_SOUGHT, _MIDDLE = 500, 16
 
-    A word with others on both sides stands whole in any text that holds the
-    query; only texts with such a word are searched. Queries of less than three
-    words are searched everywhere.
+
+def _holding(docs: DataFrame, asked: DataFrame) -> DataFrame:
+    """(item_id, ord) of the documents that hold a query's text.
+
+    One pass over the texts for each ``_SOUGHT`` queries: an expression of the
+    middles of all of them picks the texts that may hold one, and those are searched.
     """
-    rows = asked.select("item_id", F.col("text").alias("query"), text.lexical_tokens(F.col("text")).alias("ws"))
-    inner = rows.select("item_id", "query", F.explode(F.array_distinct(F.slice("ws", 2, F.greatest(F.size("ws") - 2, F.lit(0))))).alias("term"))
-    df = index.docs.select(F.explode(F.array_distinct("tokens")).alias("term")).join(F.broadcast(inner.select("term").distinct()), "term").groupBy("term").agg(F.count("*").alias("df"))
-    rarest = inner.join(df, "term").groupBy("item_id", "query").agg(F.min_by("term", F.struct("df", "term")).alias("term"))
-    # The benchmark is a stated query set; its words were sent to the tasks already.
-    words = [r["term"] for r in rarest.select("term").distinct().collect()]
-    held = index.docs.select("ord", F.explode(F.array_intersect("tokens", F.array(*map(F.lit, words)).cast("array<string>"))).alias("term"))
-    found = held.join(F.broadcast(rarest), "term").join(docs.select("ord", "text"), "ord").where(F.expr("contains(text, query)"))
-    short = rows.where(F.size("ws") < 3).select("item_id", "query")
-    everywhere = docs.select("ord", "text").join(F.broadcast(short), F.expr("contains(text, query)"))
-    return found.select("item_id", "ord").union(everywhere.select("item_id", "ord"))
+    spark = docs.sparkSession
+    kind = asked.schema["item_id"].dataType
+    rows = asked.select("item_id", "text").where("text IS NOT NULL").collect()  # a stated query set
+    literal = lambda t: "".join(c if c.isalnum() or not c.isascii() else f"\\x{{{ord(c):x}}}" for c in t)
+
+    def against(rows: list) -> DataFrame:
+        middles = {t[(at := max(0, (len(t) - _MIDDLE) // 2)) : at + _MIDDLE] for _, t in rows}
+        shared = spark.sparkContext.broadcast((pa.array([i for i, _ in rows], to_arrow_type(kind)), [t for _, t in rows], "|".join(map(literal, sorted(middles)))))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, sought, pattern = shared.value
+            for batch in batches:
+                may = batch.filter(pc.match_substring_regex(batch.column(1), pattern))
+                at, ords = [], []
+                for o, t in zip(may.column(0), may.column(1), strict=True):
+                    t = t.as_py()
+                    own = [i for i, s in enumerate(sought) if s in t]
+                    at += own
+                    ords += [o.as_py()] * len(own)
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(at, pa.int64())), pa.array(ords, pa.int64())], names=["item_id", "ord"])
+
+        return docs.select(F.col("ord").cast("long").alias("ord"), "text").mapInArrow(run, T.StructType([T.StructField("item_id", kind), T.StructField("ord", T.LongType())]))
+
+    parts = [against(rows[i : i + _SOUGHT]) for i in range(0, len(rows), _SOUGHT)]
+    return reduce(DataFrame.union, parts) if parts else asked.select("item_id").crossJoin(docs.select("ord")).limit(0)
 
 
 def _graded(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, asked = documents(spark, sf_dir), items(spark, sf_dir)
     index = _index(spark, sf_dir)
-    first = _holding(index, docs, asked).groupBy("item_id").agg(F.min("ord").alias("expected"))
-    cases = first.join(asked, "item_id").join(docs.select(F.col("doc_id").alias("expected"), F.col("source").alias("key")), "expected")
+    # One row at most for each query.
+    first = _holding(docs, asked).groupBy("item_id").agg(F.min("ord").alias("expected")).join(asked, "item_id")
+    cases = docs.select(F.col("doc_id").alias("expected"), F.col("source").alias("key")).join(F.broadcast(first), "expected")
     cases = cases.select(F.col("item_id").alias("query_id"), "expected", lang.route(F.col("text")).alias("lang"), "key", F.col("text").alias("query"))
     return evaluate.grade(cases, bm25.search(index, asked, F.col("text"), 5))
 

@@ -408,3 +408,16 @@ def test_known_documents_are_ranked_alone(spark, monkeypatch, known_limit):
     assert [(r["query_id"], r["ord"], r["score"]) for r in best] == [(r["query_id"], r["ord"], r["score"]) for r in want]
     if known_limit > 2:  # what is shuffled is k rows of a task, no row for each pair
         assert "LeftSemi" in bm25.scores(index, bm25.query_tokens(asked, F.col("text")), 5, known.select("ord"))._jdf.queryExecution().toString()
+
+
+def test_texts_that_hold_queries(spark, monkeypatch):
+    monkeypatch.setattr(registry, "_SOUGHT", 3)
+    texts = ["the red fox [ran] away.", "a+b", "x\n(y) z|w é ü ß and more of it", "fox", "", "Fox", None, "no \\E such", "画一个圆形的对话框"]
+    docs = [t and f"before {t} after" for t in texts] + ["the red fox", "", None, "a+b a+b the red fox [ran] away."]
+    rows = spark.createDataFrame(list(enumerate(docs)), "ord long, text string")
+    asked = spark.createDataFrame(list(enumerate(texts)), "item_id int, text string")
+    found = registry._holding(rows, asked)
+    assert found.dtypes == [("item_id", "int"), ("ord", "bigint")]
+    assert sorted(map(tuple, found.collect())) == sorted((i, o) for i, t in enumerate(texts) for o, d in enumerate(docs) if t is not None and d is not None and t in d)
+    assert "Join" not in found._jdf.queryExecution().toString()  # one pass, no shuffle of texts
+    assert registry._holding(rows, asked.limit(0)).count() == 0
